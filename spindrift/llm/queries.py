@@ -104,3 +104,69 @@ select conv_id, count(*) as n_turns,
     and arg_max(role, k) = 'assistant' as valid
 from e group by conv_id
 """
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.pii import find_pii
+
+    bounded_batches(spark)
+    out = find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.toxicity import fit_toxicity, remainder, score_toxicity
+
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+MIX_REPEATS = 4.0
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), max_repeats=MIX_REPEATS)
+
+
+OP7_SQL = rf"""
+with d as (
+  select doc_id, source, coalesce('=' || source, 'null') as s,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n from documents
+),
+h as (select *, md5(s || ':' || coalesce(doc_id::varchar, '')) as h from d),
+b as (select s, substr(h, 1, 3) as block, sum(n)::bigint as t from h group by 1, 2),
+s as (select s, sum(t)::bigint as t from b group by s),
+x as (select greatest(0, 1 - ln({MIX_REPEATS}) / nullif(ln(max(t) / min(t)), 0)) as a, max(t) as most from s where t > 0),
+e as (select s, t, case when t > 0 then (most / t) ** (1 - coalesce(a, 0)) else 1 end as e from s, x),
+r as (select s, floor(e + 1e-9)::bigint as f, case when e - floor(e + 1e-9) > 1e-9 then round((e - floor(e + 1e-9)) * t)::bigint else 0 end as r from e),
+o as (
+  select b.s, block, t, f, greatest(r - coalesce(sum(t) over (partition by b.s order by md5(b.s || ':' || f || ':' || block), block
+    rows between unbounded preceding and 1 preceding), 0), 0) as short
+  from b join r using (s)
+),
+c as (
+  select doc_id, source, n, o.block, f, short > 0 as inside, short > 0 and short < t as cut, least(short, t) as give,
+    coalesce(sum(n) over (partition by h.s, o.block order by h, doc_id nulls first, n rows between unbounded preceding and 1 preceding), 0) as before
+  from h join o on h.s = o.s and substr(h, 1, 3) = o.block
+)
+select doc_id, source, n as n_tokens, unnest(generate_series(0, f + (case when cut then before < give else inside end)::int - 1)) as epoch, block
+from c
+"""
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.html_extract import extract_main_text
+
+    bounded_batches(spark)
+    return extract_main_text(table(spark, sf_dir, "pages"))

@@ -11,7 +11,7 @@ Order: documents are range-partitioned and sorted by id (ties by text), so files
 ascending id order, and each file's base offset is a running sum over the manifest, one row a file.
 
 Encoding is exact but memoised: the tokenizer never lets a token span white space, so each distinct
-white-space word is encoded once by the tokenizers library and kept in a bounded cache; texts with
+word is encoded once by the tokenizers library and kept in a bounded memo; texts with
 the four control characters that Python and the library split differently are encoded whole.
 
 Defined cases: a null text is empty, and an empty text is the end id alone; a null id sorts first; rows that repeat an
@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,63 +40,81 @@ MAGIC = b"BPT1"
 MANIFEST = "file string, part int, seq int, docs long, ids long, bytes long"
 ROWS = "file string, pos long, doc_id string, local_start long, n_tokens long, ids_crc32 long"
 _ODD = re.compile("[\x1c-\x1f]")
+_TOUCHING = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
 
 
 class WordEncoder:
-    """Whole-text encoding by words of white space, with a bounded memo of word -> little-endian u32 ids."""
+    """Whole-text encoding by words, with a bounded memo of word -> little-endian u32 ids.
 
-    def __init__(self, path: str, limit: int = 600_000):
+    Where the file's pipeline takes runs of letters of the lower-cased text as words in the byte
+    alphabet, texts are lower-cased, cut at white space, full stops and commas, and the words that the memo lacks go
+    to the library together, as ready pieces for its model. Texts that this could treat differently
+    (not in NFC, a capital sigma, special tokens, marks that touch a full stop or comma) are encoded
+    whole or word by word by the file's own pipeline.
+    """
+
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.limit, self.memo = self.tokenizer.model, limit, {}
-        self.simple = self._lowercased_words()
+        self.limit, self.memo, self.own = limit, {}, {}
+        said = json.loads(self.tokenizer.to_str())
+        self.simple = self._lowercased_words(said)
+        if self.simple:
+            said |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+            self.pieces = Tokenizer.from_str(json.dumps(said))
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-    def _lowercased_words(self) -> bool:
-        """Does the file's pipeline take runs of letters as words, lower-cased, in the byte alphabet?"""
-        said = json.loads(self.tokenizer.to_str())
+    @staticmethod
+    def _lowercased_words(said: dict) -> bool:
         steps = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", [])]
         split = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"] and "[\\p{L}]+" in str(split[0])
-
-    def _word(self, word: str) -> bytes:
-        if self.simple and word.isalpha() and (word.isascii() or (word.islower() and len(word) < 200 and _stable(word))):
-            mapped = word.lower().encode().decode("latin1").translate(self.alphabet)
-            ids = [t.id for t in self.model.tokenize(mapped)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
-
-    def _missing(self, word: str) -> bytes:
-        memo = self.memo
-        if len(memo) >= self.limit:
-            memo.clear()
-        head, tail = word[:-1], word[-1:]
-        if self.simple and tail in ",." and head.isalpha():  # letters, then one punctuation mark: two pieces
-            low = head.lower() if head.isascii() else head
-            got = (memo.get(low) or memo.setdefault(low, self._word(low))) + (memo.get(tail) or memo.setdefault(tail, self._word(tail)))
-        elif self.simple and word.isascii() and word.isalpha() and not word.islower():
-            low = word.lower()
-            got = memo.get(low) or memo.setdefault(low, self._word(low))
-        else:
-            got = self._word(word)
-        memo[word] = got
-        return got
+        return (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in split] == ["Split", "ByteLevel"]
+            and "|[\\p{L}]+|" in str(split[0]["pattern"].get("Regex"))
+            and said["model"].get("end_of_word_suffix") == "</w>"
+        )
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Enter lower-cased words into the memo; runs of letters together, others one by one."""
+        letters = [w for w in words if w.isalpha()]
+        mapped = " ".join(letters).encode().decode("latin1").translate(self.alphabet | {32: " "})
+        ids = np.asarray(self.pieces.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4") if letters else np.zeros(0, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) == len(letters):
+            data, at = ids.tobytes(), 0
+            for w, e in zip(letters, ends):
+                self.memo[w] = data[4 * at : 4 * e]
+                at = e
+        for w in words:
+            if w not in self.memo:
+                self.memo[w] = self._whole(w)
 
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get = self.memo.get
-        return b"".join([get(w) or self._missing(w) for w in text.split()])
-
-
-def _stable(word: str) -> bool:
-    import unicodedata
-
-    return unicodedata.is_normalized("NFC", word) and word.lower() == word
+            return self._whole(text)
+        if len(self.memo) + len(self.own) > self.limit:
+            self.memo.clear()
+            self.own.clear()
+        if not self.simple or "Σ" in text or "<|" in text or _TOUCHING.search(text) or not unicodedata.is_normalized("NFC", text):
+            # by words of white space: the pipeline never joins across it
+            get, own = self.own.get, self.own
+            return b"".join([get(w) or own.setdefault(w, self._whole(w)) for w in text.split()])
+        words = text.lower().replace(".", " . ").replace(",", " , ").split()
+        out = list(map(self.memo.get, words))
+        if None in out:
+            self._learn(list({w: 0 for w, o in zip(words, out) if o is None}))
+            out = list(map(self.memo.get, words))
+        return b"".join(out)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
