@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # How log files are named and how their lines are laid out.
 PATH = r"/([^/_]+)_([^/_]+)_([^/_]+)/([^/]+)/([0-9]+)\.log(\.[0-9]{8}-[0-9]{6})?(\.gz)?$"
@@ -93,9 +92,7 @@ def file_order(rotated: Column) -> Column:
     return F.when(rotated == "", F.lit("~")).otherwise(rotated)
 
 
-POD = T.StructType.fromDDL(
-    "metadata struct<name:string,namespace:string,uid:string,labels:map<string,string>,annotations:map<string,string>,ownerReferences:array<struct<kind:string,name:string>>>"
-)
+POD = "metadata struct<name:string,namespace:string,uid:string,labels:map<string,string>,annotations:map<string,string>,ownerReferences:array<struct<kind:string,name:string>>>"
 
 
 def read_pods(spark: SparkSession, path: str) -> DataFrame:
