@@ -59,9 +59,9 @@ def literals(query: str) -> list[str]:
 
 
 def _pair(msg: Column, key: str, value: str) -> Column:
-    """Top-level JSON value as text; the JSON null is the empty text, a missing key is no match."""
-    fields = F.from_json(msg, "map<string,string>")
-    said = F.when(F.map_contains_key(fields, key), F.coalesce(F.element_at(fields, key), F.lit("")))
+    """Top-level JSON value as text; the JSON null is the empty text, a missing key is no match, of equal keys the last counts."""
+    named = F.filter(F.map_entries(F.from_json(msg, "map<string,string>")), lambda e: e["key"] == key)
+    said = F.when(F.size(named) > 0, F.coalesce(F.try_element_at(named, F.lit(-1))["value"], F.lit("")))
     return F.coalesce(msg.startswith("{") & (F.lower(said) == value), F.lit(False))
 
 

@@ -174,7 +174,7 @@ def stream_partial(spark, d):
 def stream_multiline(spark, d):
     """Events that begin at a signup; the last of each user is still open and not among them."""
     lines = log_lines(spark, d, streaming=True).select(F.col("sid").cast("string").alias("file"), F.col("seq").alias("off"), "msg")
-    out = ingest.collect_stream(ingest.multiline_events(lines, '"level":"signup"', max_lines=5, quiet_ms=86_400_000), scratch.fresh(spark, "multi"), scratch.fresh(spark, "multi-log"))
+    out = ingest.collect_stream(ingest.multiline_events(lines, '"level":"signup"', max_lines=5, quiet_ms=None), scratch.fresh(spark, "multi"), scratch.fresh(spark, "multi-log"))
     return out.select("file", "off", "n", F.md5(F.col("msg").cast("binary")).alias("md5"))
 
 

@@ -1,8 +1,9 @@
 """Streaming ingest: exactly-once by cursors, partial lines, multi-line events, an idempotent store.
 
 State is keyed by stream and file, so keys spread evenly and a file's rows keep their order: within a micro-batch they
-are sorted by offset before the state sees them. No watermark: a line of any age is taken; state of
-files that are silent for long goes by a processing-time timeout.
+are sorted by offset before the state sees them. No watermark: a line of any age is taken. State of files that
+are silent for long goes by a processing-time timeout where one is given; it asks for empty batches for as long
+as the query lives, so runs over what is there (``collect_stream``) must be without one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def exactly_once(sections: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+def _timeout(ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _expire(state: GroupState, ms: int | None) -> None:
+    if ms is not None:
+        state.setTimeoutDuration(ms)
+
+
+def exactly_once(sections: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Sections (sid, file, seq, off_start, off_end, ...) that reach beyond what was accepted before; whole if they overlap."""
     schema: StructType = sections.schema
 
@@ -28,16 +38,16 @@ def exactly_once(sections: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["off_start", "seq"] if "off_start" in schema.names else ["seq"], kind="stable")
         before = rows["off_end"].cummax().shift(fill_value=cursor).clip(lower=cursor)
         state.update((int(max(cursor, rows["off_end"].max())),))
-        state.setTimeoutDuration(ttl_ms)
+        _expire(state, ttl_ms)
         yield rows[rows["off_end"] > before]
 
-    return sections.groupBy("sid", "file").applyInPandasWithState(step, schema, "cursor long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return sections.groupBy("sid", "file").applyInPandasWithState(step, schema, "cursor long", "append", _timeout(ttl_ms))
 
 
 LINE = "file string, off long, n long, msg string"
 
 
-def whole_lines(pieces: DataFrame, max_bytes: int = 1 << 20, quiet_ms: int = 3_600_000) -> DataFrame:
+def whole_lines(pieces: DataFrame, max_bytes: int = 1 << 20, quiet_ms: int | None = None) -> DataFrame:
     """Pieces (file, off, partial, msg) joined to lines; what is pending stays in the state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,15 +64,15 @@ def whole_lines(pieces: DataFrame, max_bytes: int = 1 << 20, quiet_ms: int = 3_6
                 n, text = 0, ""
         if n:
             state.update((int(off), int(n), text))
-            state.setTimeoutDuration(quiet_ms)
+            _expire(state, quiet_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["file", "off", "n", "msg"])
 
-    return pieces.groupBy("file").applyInPandasWithState(step, LINE, "off long, n long, msg string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pieces.groupBy("file").applyInPandasWithState(step, LINE, "off long, n long, msg string", "append", _timeout(quiet_ms))
 
 
-def multiline_events(lines: DataFrame, start_pattern: str, max_lines: int = 200, quiet_ms: int = 2000) -> DataFrame:
+def multiline_events(lines: DataFrame, start_pattern: str, max_lines: int = 200, quiet_ms: int | None = 2000) -> DataFrame:
     """Lines (file, off, msg) joined to events; an open event closes at the next start, at ``max_lines`` or after ``quiet_ms``."""
     import re
 
@@ -81,10 +91,10 @@ def multiline_events(lines: DataFrame, start_pattern: str, max_lines: int = 200,
                 n = 0
             off, n, text = (off, n + 1, f"{text}\n{r.msg}") if n else (r.off, 1, r.msg)
         state.update((int(off), int(n), text))
-        state.setTimeoutDuration(quiet_ms)
+        _expire(state, quiet_ms)
         yield pd.DataFrame(out, columns=["file", "off", "n", "msg"])
 
-    return lines.groupBy("file").applyInPandasWithState(step, LINE, "off long, n long, msg string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.groupBy("file").applyInPandasWithState(step, LINE, "off long, n long, msg string", "append", _timeout(quiet_ms))
 
 
 def limited(events: DataFrame, per_second: float, by: str = "cluster", burst: float = 2.0) -> DataFrame:
