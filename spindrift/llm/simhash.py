@@ -31,7 +31,7 @@ from spindrift.llm.common import drop_staged, parallelism, staged, text_or_empty
 
 RADIUS = 3
 FAN = 16
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -138,30 +138,34 @@ class GrayIndex:
         return at, root[at]
 
     def _search(self, q: np.ndarray, node: np.ndarray, radius: int, parent: np.ndarray, root: np.ndarray, one: list[np.ndarray]) -> None:
-        """Walk down from the roots with the differences so far; the frontier is cut in pieces of at most FRONTIER."""
+        """Walk down from the roots with the differences so far, depth first in pieces: a piece opens into at most about FRONTIER nodes."""
         stack = [(0, q, node, np.zeros(len(q), np.int64))]
         while stack:
             depth, q, node, acc = stack.pop()
             level = self.levels[depth]
+            if depth:  # open the nodes of the level above; what waits on the stack is not opened yet
+                up = self.levels[depth - 1]
+                kids = up["kids"][node]
+                node = np.repeat(up["first"][node] - np.r_[0, np.cumsum(kids)[:-1]], kids) + np.arange(kids.sum())
+                q, acc = np.repeat(q, kids), np.repeat(acc, kids)
             acc = acc + np.bitwise_count((self.fp[q] ^ level["pattern"][node]) & level["rest"][node])
             near = (acc <= radius) & (level["end"][node] > q + 1) & (one[depth][node] != root[q])  # a pair is met once, from its first
             q, node, acc = q[near], node[near], acc[near]
             whole = acc + level["free"][node] <= radius  # the group cannot differ by more: take it whole
             if whole.any():
-                n = (level["end"] - level["start"])[node[whole]]
-                a = np.repeat(q[whole], n)
-                b = np.repeat(level["start"][node[whole]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                _unite(parent, a, b)
+                self._take(q[whole], node[whole], level, parent)
                 q, node, acc = q[~whole], node[~whole], acc[~whole]
-            if not len(q) or depth == len(self.levels) - 1:
-                continue
-            kids = level["kids"][node]
-            cut = np.searchsorted(np.cumsum(kids), np.arange(FRONTIER, kids.sum() + FRONTIER, FRONTIER), side="right")
-            for lo, hi in zip(np.r_[0, cut[:-1]], cut):
-                if hi > lo:
-                    k = kids[lo:hi]
-                    down = np.repeat(level["first"][node[lo:hi]] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-                    stack.append((depth + 1, np.repeat(q[lo:hi], k), down, np.repeat(acc[lo:hi], k)))
+            if depth < len(self.levels) - 1:
+                step = max(1, FRONTIER // FAN)
+                stack += [(depth + 1, q[i : i + step], node[i : i + step], acc[i : i + step]) for i in range(0, len(q), step)]
+
+    @staticmethod
+    def _take(q: np.ndarray, node: np.ndarray, level: dict, parent: np.ndarray) -> None:
+        """Link queries to every member of their nodes, some members at a time."""
+        size = level["end"][node] - level["start"][node]
+        for i in range(int(size.max())):
+            some = size > i
+            _unite(parent, q[some], level["start"][node[some]] + i)
 
 
 def _uniform(root: np.ndarray, start: np.ndarray) -> np.ndarray:

@@ -38,7 +38,6 @@ from spindrift.llm.common import filesystem, fresh_dir, parallelism, staged
 
 MAGIC = b"BPT1"
 MANIFEST = "file string, part int, seq int, docs long, ids long, bytes long"
-ROWS = "file string, pos long, doc_id string, local_start long, n_tokens long, ids_crc32 long"
 _ODD = re.compile("[\x1c-\x1f]")
 _TOUCHING = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
 
@@ -53,7 +52,7 @@ class WordEncoder:
     whole or word by word by the file's own pipeline.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
