@@ -88,11 +88,13 @@ def base_spans(text: str) -> list[Span]:
 
 _WORD = r"[A-Za-z0-9][A-Za-z0-9_%+-]{0,40}"
 _DOT = r"(?: ?[\[(]dot[\])] ?| dot |\.)"
+_HEX = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 GENERATORS = (
     ("email", "at", re.compile(rf"\b{_WORD}(?:{_DOT}{_WORD}){{0,3}}(?: ?[\[(]at[\])] ?| at | ?@ ?){_WORD}(?:{_DOT}{_WORD}){{1,3}}", re.I)),
     ("phone", "digit", re.compile(r"(?<![0-9])\(?0?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])")),
     ("phone", "digit", re.compile(r"(?<![0-9.])0[0-9]{8,11}(?![0-9])")),
     ("ip", ":", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])")),
+    ("ip", ":", re.compile(rf"(?<![0-9A-Za-z_])(?<![0-9A-Fa-f:]:)(?:{_HEX}::(?:{_HEX})?|::{_HEX})(?![0-9A-Za-z_:])")),
     ("ssn", "digit", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
     ("iban", "digit", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
 )
@@ -104,6 +106,8 @@ CUES = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "not": ("version", "order", "isbn", "invoice", "part", "model", "page", "date", "ref", "commit", "hash", "serial", "price", "meet", "look"),
 }
+# words that stand before "at" and a place, not before an address
+PLACED = frozenset("us me you it them him her available online found site website page pages look looking visit more information details hosted located live read see this that here and is are was".split())
 
 
 def candidates(text: str) -> list[Span]:
@@ -112,11 +116,11 @@ def candidates(text: str) -> list[Span]:
     digit = _DIGIT.search(text) is not None
     out = []
     for kind, needs, pattern in GENERATORS:
-        if needs == "digit" and not digit or needs == ":" and (not digit or ":" not in text):
+        if needs == "digit" and not digit or needs == ":" and ":" not in text:
             continue
         if needs == "at":
             low = text.lower()
-            if "@" not in text and not ("dot" in low and (" at " in low or "at)" in low or "at]" in low)):
+            if "@" not in text and " at " not in low and "at)" not in low and "at]" not in low:
                 continue
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out
@@ -135,6 +139,7 @@ def describe(text: str, span: Span) -> list[float]:
     digits = _DIGIT.findall(s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)]
     last = re.split(r"[.\s)\]]+", s.lower())[-1]
+    short = "::" in s and kind == "ip"
     return [
         *[float(kind == k) for k in KINDS],
         len(s),
@@ -149,6 +154,12 @@ def describe(text: str, span: Span) -> list[float]:
         float("@" in s),
         float(bool(re.search(r"[\[(](at|dot)[\])]", s, re.I))),
         float(" dot " in s.lower()),
+        float(" at " in s.lower()),
+        float(kind == "email" and re.split(r"[^a-z0-9]", s.lower())[0] in PLACED),
+        s.count(":"),
+        s.count("::"),
+        float(short and s.lower().startswith(("fe80:", "fc", "fd", "ff0", "2001:", "2a0", "2600:", "2606:", "2620:"))),
+        float(short and not digits),
         float(last in ("com", "org", "net", "edu", "de", "fr", "es", "io", "uk", "info")),
         len(last),
         float(bool(re.match(r"(19|20)[0-9]{2}\b", s)) or bool(re.search(r"\b(19|20)[0-9]{2}$", s))),
@@ -177,19 +188,26 @@ def _synthetic(seed: int, n: int) -> list[tuple[str, str, bool]]:
         s = f"{body[:2]}{check:02d}{body[4:]}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
 
+    placed, plain = sorted(PLACED), ("add", "bad", "bed", "dead", "face", "fade", "a", "b", "c", "cafe", "abc", "feed", "dec")
+
+    def short_ip() -> str:
+        head = r.choice(("fe80", "2001:db8", "2a02:" + hexa(4), "fd" + hexa(2), hexa(4) + ":" + hexa(4), "2001:" + hexa(4) + ":" + hexa(4), ""))
+        tail = ":".join(hexa(r.randint(1, 4)) for _ in range(r.randint(1, 6 - head.count(":"))))
+        return f"{head}::{r.choice((tail, tail, '1', '')) if head else r.choice(('1', 'ffff:' + hexa(4), tail))}"
+
     yes = {
         "email": lambda: r.choice(
-            (f"{word()}{r.choice(('', '.', '_'))}{word()} [at] {word()} [dot] {tld()}", f"{word()}(at){word()}.{tld()}", f"{word()} at {word()} dot {tld()}", f"{word()} @ {word()}.{tld()}")
+            (f"{word()}{r.choice(('', '.', '_'))}{word()} [at] {word()} [dot] {tld()}", f"{word()}(at){word()}.{tld()}", f"{word()}{r.choice(('', '.', '_'))}{word()} [at] {word()}.{tld()}", f"{word()}.{word()}(at){word()}.{tld()}", f"{word()} at {word()} dot {tld()}", f"{word()} at {word()}.{tld()}", f"{word()} @ {word()}.{tld()}")
         ),
         "phone": lambda: r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(9)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}")),
-        "ip": lambda: ":".join(hexa(r.randint(1, 4)) for _ in range(8)),
+        "ip": lambda: short_ip() if r.random() < 0.5 else ":".join(hexa(r.randint(1, 4)) for _ in range(8)),
         "ssn": lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
         "iban": iban,
     }
     no = {
-        "email": lambda: r.choice((f"{word()} at {word()}.{word()}", f"{word()} at {word()}. {word()}", f"{word()} at {d(2)}.{d(2)}", f"{word()} at {word()} dot {word()}", f"@ {word()}.{word()}")),
+        "email": lambda: r.choice((f"{word()} at {word()}.{word()}", f"{word()} at {word()}. {word()}", f"{word()} at {d(2)}.{d(2)}", f"{word()} at {word()} dot {word()}", f"{r.choice(placed)} at {word()}.{tld()}", f"@ {word()}.{word()}")),
         "phone": lambda: r.choice((f"{r.randint(1900, 2030)}-{d(4)}-{d(4)}", f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(4)}-{d(3)}", f"0{d(10)}")),
-        "ip": lambda: r.choice((":".join(d(2) for _ in range(r.randint(4, 6))), f"{d(2)}:{d(2)}:{d(2)}:{d(3)}", "::".join(word()[:2] for _ in range(4)))),
+        "ip": lambda: r.choice((":".join(d(2) for _ in range(r.randint(4, 6))), f"{d(2)}:{d(2)}:{d(2)}:{d(3)}", "::".join(word()[:2] for _ in range(4)), f"{r.choice(plain)}::{r.choice(plain)}", f"{d(2)}::{d(2)}", f"{d(1)}::", f"::{r.choice(plain)}", f"{r.choice(plain)}::")),
         "ssn": lambda: r.choice((f"{d(3)} {d(2)} {d(4)}", f"9{d(2)}-{d(2)}-{d(4)}", f"000-{d(2)}-{d(4)}")),
         "iban": lambda: r.choice("ABCDEFGHIJ") + r.choice("KLMNOPQR") + d(2) + " " + " ".join(d(4) for _ in range(4)),
     }
@@ -201,6 +219,8 @@ def _synthetic(seed: int, n: int) -> list[tuple[str, str, bool]]:
         cue = f" {r.choice(cues)}{r.choice(('', ':', ' is', ' no.'))}" if r.random() < (0.55 if true else 0.7) else ""
         if true and not cue and kind in ("phone", "ssn") and r.random() < 0.5:
             true = False  # a bare number alone says little
+        if true and not cue and (kind == "email" and " at " in made and "." in made or kind == "ip" and made.startswith("::")) and r.random() < 0.6:
+            true = False  # nor does a place, or a single group
         text = " ".join(word() for _ in range(r.randint(0, 6))) + f"{cue} "
         out.append((text + "\0" + made + "\0" + r.choice((".", " ", ",")) + " ".join(word() for _ in range(3)), kind, true))
     return out
