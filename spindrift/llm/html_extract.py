@@ -9,8 +9,8 @@ line breaks.
 
 The weights (``html_weights.npz``) are trained by ``html_train.py`` on pages that a seeded generator makes.
 
-Pages are labelled in batches of like length. A very long page is read in windows of blocks that overlap, so
-memory stays bounded and nothing is cut off.
+Pages are labelled in batches of like length. A very long page is read in chunks of blocks, forwards and backwards, each
+going on from the states the chunk before left: the labels are those of the whole page, and nothing is cut off.
 
 Defined cases: null and empty html give an empty text; malformed markup is read as browsers' parsers would,
 roughly: an unclosed script swallows the rest, stray closing tags are ignored; rows that repeat are extracted one by
@@ -171,11 +171,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states (pages, blocks, hidden) of one direction; ``keep`` collects what training needs."""
+def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: list | None = None, state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Hidden states (pages, blocks, hidden) of one direction; ``keep`` collects what training needs; ``state`` (h and c) is started from and updated."""
     pages, steps, _ = x.shape
     hidden = u.shape[0]
-    h, c = np.zeros((pages, hidden), np.float32), np.zeros((pages, hidden), np.float32)
+    h, c = state or (np.zeros((pages, hidden), np.float32), np.zeros((pages, hidden), np.float32))
     out = np.zeros((pages, steps, hidden), np.float32)
     drive = x @ w + b
     for t in range(steps):
@@ -190,6 +190,8 @@ def lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
         c = m * c_new + (1 - m) * c
         h = m * (o * tc) + (1 - m) * h
         out[:, t] = h
+    if state:
+        state[0][:], state[1][:] = h, c
     return out
 
 
@@ -201,37 +203,39 @@ class Labeller:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: np.asarray(weights[k], np.float32) for k in self.NAMES}
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        w = self.w
-        e = np.tanh(x @ w["w0"] + w["b0"])
-        ahead = lstm(e, mask, w["wf"], w["uf"], w["bf"])
-        back = lstm(e[:, ::-1], mask[:, ::-1], w["wb"], w["ub"], w["bb"])[:, ::-1]
-        return _sigmoid(np.concatenate([ahead, back], axis=2) @ w["wo"] + w["bo"])[:, :, 0]
-
-    def label(self, pages: list[np.ndarray], window: int = 512, overlap: int = 64, cells: int = 1 << 13) -> list[np.ndarray]:
-        """Is each block main text? Pages of like length go together; a long one in windows that overlap."""
-        jobs = []  # page, first block read, first and last block decided
-        for k, x in enumerate(pages):
-            n = len(x)
-            if n <= window:
-                jobs.append((k, 0, n, 0, n))
-            else:
-                step = window - 2 * overlap
-                for s in range(0, n, step):
-                    jobs.append((k, max(0, s - overlap), min(n, s + step + overlap), s, min(n, s + step)))
+    def probabilities(self, pages: list[np.ndarray], window: int = 512) -> list[np.ndarray]:
+        """Of each block; the pages in ascending length. Both directions go through the pages in chunks and hand their states on."""
+        w, hidden = self.w, len(self.w["uf"])
+        score = [np.full(len(x), w["bo"][0], np.float32) for x in pages]
+        chunks = []  # first page that reaches it, first block, inputs, mask
+        for s in range(0, len(pages[-1]), window):
+            first = next(r for r, x in enumerate(pages) if len(x) > s)
+            parts = [x[s : s + window] for x in pages[first:]]
+            x = np.zeros((len(parts), len(parts[-1]), WIDTH), np.float32)
+            mask = np.zeros(x.shape[:2], np.float32)
+            for r, part in enumerate(parts):
+                x[r, : len(part)], mask[r, : len(part)] = part, 1
+            chunks.append((first, s, np.tanh(x @ w["w0"] + w["b0"]), mask))
+        for d, turn in (("f", 1), ("b", -1)):
+            h, c = np.zeros((len(pages), hidden), np.float32), np.zeros((len(pages), hidden), np.float32)
+            out = w["wo"][:hidden] if d == "f" else w["wo"][hidden:]
+            for first, s, e, mask in chunks[::turn]:
+                states = lstm(e[:, ::turn], mask[:, ::turn], w[f"w{d}"], w[f"u{d}"], w[f"b{d}"], state=(h[first:], c[first:]))
+                part = (states[:, ::turn] @ out)[:, :, 0]
+                for r, row in enumerate(part):
+                    own = score[first + r][s : s + window]
+                    own += row[: len(own)]
+        return [_sigmoid(x) for x in score]
+
+    def label(self, pages: list[np.ndarray], window: int = 512, cells: int = 1 << 13) -> list[np.ndarray]:
+        """Is each block main text? Pages of like length go together."""
         out = [np.zeros(len(x), bool) for x in pages]
-        jobs.sort(key=lambda j: j[2] - j[1])
-        while jobs:
-            steps = max(1, jobs[-1][2] - jobs[-1][1])
-            take = max(1, cells // steps)
-            batch, jobs = jobs[-take:], jobs[:-take]
-            x = np.zeros((len(batch), steps, WIDTH), np.float32)
-            mask = np.zeros((len(batch), steps), np.float32)
-            for r, (k, a, b, _, _) in enumerate(batch):
-                x[r, : b - a], mask[r, : b - a] = pages[k][a:b], 1
-            p = self.probabilities(x, mask)
-            for r, (k, a, _, s, e) in enumerate(batch):
-                out[k][s:e] = p[r, s - a : e - a] > 0.5
+        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
+        while order:
+            take = max(1, cells // max(1, min(len(pages[order[-1]]), window)))
+            batch, order = order[-take:], order[:-take]
+            for k, p in zip(batch, self.probabilities([pages[k] for k in batch], window)):
+                out[k] = p > 0.5
         return out
 
 

@@ -16,3 +16,28 @@ def test_pii_proposes_every_form_its_generators_match():
     assert [spans(t) for t in texts[4:6]] == [["fe80::1"], ["2001:db8::1"]]
     for t in ("available at github.com", "visit us at example.org", "std::bad::face a::b", "look 12::30"):
         assert spans(t) == []
+
+
+def test_html_long_pages_are_labelled_as_a_whole():
+    """A model whose labels hang on a page's first and last block only."""
+    import numpy as np
+
+    from spindrift.llm.html_extract import WIDTH, Labeller, labeller
+
+    w = {"w0": np.zeros((WIDTH, 2)), "b0": np.zeros(2), "wo": np.full((2, 1), 10.0), "bo": np.array([-12.0])}
+    w["w0"][0, 0] = w["w0"][1, 1] = 9
+    for at, d in enumerate("fb"):  # gates i, f, o, and g: a cell that takes its input's mark once and keeps it
+        w |= {f"w{d}": np.zeros((2, 4)), f"u{d}": np.zeros((1, 4)), f"b{d}": np.array([-20.0, 25, 25, 5])}
+        w[f"w{d}"][at, 0] = 40
+    pages = []
+    for n, marks in ((2000, (0, 1)), (3, (0, 1)), (700, (0,)), (0, ()), (512, (0, 1)), (513, (0, 1)), (1100, (1,)), (1500, (0, 1))):
+        x = np.zeros((n, WIDTH), np.float32)
+        for m in marks:
+            x[-m, m] = 1
+        pages.append(x)
+    assert [(len(y), bool(y.all()), bool(y.any())) for y in Labeller(w).label(pages)] == [
+        (2000, True, True), (3, True, True), (700, False, False), (0, True, False), (512, True, True), (513, True, True), (1100, False, False), (1500, True, True)
+    ]
+    rng = np.random.default_rng(0)
+    x = [(rng.random((n, WIDTH)) < 0.1).astype(np.float32) for n in (40, 900, 1300)]
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(labeller().probabilities(x), labeller().probabilities(x, 5000)))
