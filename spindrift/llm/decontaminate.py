@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 All in DataFrame functions. One pass over the texts finds the word positions whose shingle a benchmark item has (a bit table of
-fixed size, then an exact join); a window that shares no shingle with an item has similarity 0 with it. Such a
-position and an item's place of the shingle align a window of the item's size with the text. Each window and
-each item gets a 64-bit SimHash of its shingles. The multi-index cuts fingerprints in four 16-bit blocks:
+fixed size, then an exact join); a window that shares no shingle with an item has similarity 0 with it. A best
+window can be moved back, losing nothing, until its last shingle is a shared one or it is the text's first: these
+windows are tried, unless they hold too few shared positions for the threshold, and beside them those in which a shared
+shingle stands at its own place in the item. Each window and each item gets a 64-bit SimHash of its shingles. The multi-index cuts fingerprints in four 16-bit blocks:
 within 19 bits, some block differs in at most 4, so an item's blocks are stored with all values at up to 3 and a
 window's are looked up with all at up to 1, which meet for every pair within the radius. The
 candidates' weighted Jaccard similarity of shingles (weights: how often a shingle occurs) decides.
@@ -80,6 +81,17 @@ def _blocks(fp: str, most: int) -> Column:
     return F.concat(*[one(t) for t in range(4)])
 
 
+def _ending_in_hits(k: int, threshold: float) -> Column:
+    """Starts of the windows of ``len`` words whose last shingle stands at one of the positions _p, and of the text's first window,
+    without those that hold too few of the positions to be similar enough (each position is at most one shared shingle)."""
+    p, span = F.col("_p"), F.col("len") - k
+    both = (span + 1 + F.least(span + 1, F.col("_n") - k + 1)) * (threshold / (1 + threshold))
+    need = F.greatest(F.lit(1), F.ceil(both - 1e-6)).cast("int")
+    last = F.transform(p, lambda x, i: F.when(F.get(p, i - need + 1) >= x - span, F.greatest(F.lit(0), x - span)))
+    first = F.when(F.get(p, need - 1) <= span, F.lit(0))
+    return F.filter(F.concat(last, F.array(first)), lambda s: s.isNotNull())
+
+
 def item_index(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Each item with words: item_id, len, k, sh (shingle hashes), fp; staged."""
     w = items.select(F.col(item_col).alias("item_id"), words(text_or_empty(text_col)).alias("w")).filter(F.size("w") > 0)
@@ -103,8 +115,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         at = w.filter(F.size("_w") >= k).select("_ck", F.size("_w").alias("_n"), "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - k)).alias("_at"))
         hashed = at.select("_ck", "_n", "_at", F.xxhash64(*[F.get("_w", F.col("_at") + i) for i in range(k)]).alias("h"))
         hits = _probe(hashed, table, F.col("h"), BITS, "_hit").filter("_hit").join(places.filter(F.col("k") == k), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("at"), F.col("_n") - F.col("len")))
-        found = hits.select("_ck", "k", "len", start.cast("int").alias("start"))
+        aligned = F.greatest(F.lit(0), F.least(F.col("_at") - F.col("at"), F.col("_n") - F.col("len"))).cast("int")
+        held = hits.groupBy("_ck", "_n", "len").agg(F.array_sort(F.collect_set("_at")).alias("_p"), F.collect_set(aligned).alias("_s"))
+        found = held.select("_ck", F.lit(k).alias("k"), "len", F.explode(F.array_distinct(F.concat("_s", _ending_in_hits(k, threshold)))).alias("start"))
         windows = found if windows is None else windows.unionByName(found)
     windows = staged(windows.distinct(), "windows")
 

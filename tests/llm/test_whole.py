@@ -41,3 +41,37 @@ def test_html_long_pages_are_labelled_as_a_whole():
     rng = np.random.default_rng(0)
     x = [(rng.random((n, WIDTH)) < 0.1).astype(np.float32) for n in (40, 900, 1300)]
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(labeller().probabilities(x), labeller().probabilities(x, 5000)))
+
+
+def test_decontamination_finds_the_best_of_all_starts(spark):
+    import random
+
+    from spindrift.llm.decontaminate import contaminated
+
+    r = random.Random(5)
+    item = [f"w{i}" for i in range(60)]
+
+    def best(v):
+        a, got = {tuple(item[p : p + 5]) for p in range(56)}, []
+        for s in range(max(1, len(v) - 59)):
+            b = [tuple(v[p : p + 5]) for p in range(s, min(s + 60, len(v)) - 4)]
+            both = len(a & set(b))
+            got.append((both / (56 + len(b) - both), -s))
+        return max(got)
+
+    docs, want = [], {}
+    for d in range(60):
+        copy = ["x", *item[1:-1], "y"] if d % 2 else list(item)
+        for _ in range(2 if d < 30 else r.randint(0, 4)):
+            at = r.randint(28, 30) if d < 30 else r.randrange(len(copy))
+            copy.insert(at, f"new{at}")
+        own = [f"o{d}x{i}" for i in range(r.choice((0, 3, 80)))]
+        v = own + copy + own[: r.choice((0, 2, 80))]
+        docs.append((d, " ".join(v)))
+        similarity, start = best(v)
+        if similarity >= 0.8:
+            want[d] = (round(similarity, 9), -start)
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ii = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: (round(x.similarity, 9), x.start) for x in contaminated(dd, ii).collect()}
+    assert got == want and 20 < len(want) < 60
