@@ -104,7 +104,9 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         second = len(you) / n
         if len(you):
             at = np.array([plain.count(" ", 0, s) for s, _, _ in found])
-            near = float(1 / (1 + np.abs(you[:, None] - at[None, :1024]).min()))
+            after = np.searchsorted(you, at)
+            ahead, back = you[np.minimum(after, len(you) - 1)], you[np.maximum(after - 1, 0)]
+            near = float(1 / (1 + np.minimum(np.abs(ahead - at), np.abs(back - at)).min()))
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     return [
         np.log1p(n),

@@ -75,3 +75,12 @@ def test_decontamination_finds_the_best_of_all_starts(spark):
     ii = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = {x.doc_id: (round(x.similarity, 9), x.start) for x in contaminated(dd, ii).collect()}
     assert got == want and 20 < len(want) < 60
+
+
+def test_toxicity_looks_for_a_second_person_near_every_hit():
+    from spindrift.llm.toxicity import Lexicon, features
+
+    filler = "idiot " + "word " * 5
+    near = 7  # its place among the features
+    for text, want in ((filler * 1500 + "you idiot", 1 / 2), ("you " + "word " * 9 + filler * 3, 1 / 11), (filler * 1100 + "word you word " + filler, 1 / 3), (filler * 2000, 0.0)):
+        assert abs(features(text, Lexicon())[near] - want) < 1e-9
