@@ -30,6 +30,11 @@ def _bit_table(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     return keys.groupBy(F.shiftright(at, 6).alias("_word")).agg(F.bit_or(_bit(at)).alias("_mask"))
 
 
+def bits_for(keys: int, each: int = 16) -> int:
+    """Bits of a table for so many keys, a power of two between 2^16 and 2^26 (2^20 rows); more keys only mean more false hits."""
+    return 1 << min(26, max(16, (keys * each - 1).bit_length()))
+
+
 def _probe(df: DataFrame, table: DataFrame, key: Column, bits: int, name: str) -> DataFrame:
     """``df`` with a boolean column: may the key be in the bit table?"""
     at = F.pmod(key, F.lit(bits))
@@ -48,25 +53,27 @@ def exact_dedup(
     text_col: str = "text",
     carry: Sequence[str] = (),
     prefix_chars: int = 256,
-    bits: int = 1 << 22,
+    bits: int | None = None,
 ) -> DataFrame:
     """id, keep_id, group_size, kept (and the ``carry`` columns) for each row of ``df``.
 
     Equal texts form a group; the row with the largest id stays. ``bits`` fixes the size of the
-    broadcast bit tables (at most bits/64 rows).
+    broadcast bit tables (at most bits/64 rows); without it each level's table follows its number of keys.
     """
     text = text_or_empty(text_col)
     rows = df.select(F.col(id_col).alias("_id"), text.alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     by_length = rows.select(F.octet_length("_text").alias("_len"))
-    lengths = by_length.groupBy("_len").count().filter("count > 1")
-    level1 = staged(_bit_table(lengths, F.xxhash64("_len"), bits), "lengths")
+    lengths = staged(by_length.groupBy("_len").count().filter("count > 1").select("_len"), "lengths")
+    bits1 = bits or bits_for(lengths.count())
+    level1 = staged(_bit_table(lengths, F.xxhash64("_len"), bits1), "length-bits")
 
-    sized = _probe(rows.withColumn("_len", F.octet_length("_text")), level1, F.xxhash64("_len"), bits, "_hit1")
+    sized = _probe(rows.withColumn("_len", F.octet_length("_text")), level1, F.xxhash64("_len"), bits1, "_hit1")
     prefix = F.xxhash64("_len", F.substring("_text", 1, prefix_chars))
-    prefixes = sized.filter("_hit1").select(prefix.alias("_p")).groupBy("_p").count().filter("count > 1")
-    level2 = staged(_bit_table(prefixes, F.col("_p"), bits), "prefixes")
+    prefixes = staged(sized.filter("_hit1").select(prefix.alias("_p")).groupBy("_p").count().filter("count > 1").select("_p"), "prefixes")
+    bits2 = bits or bits_for(prefixes.count())
+    level2 = staged(_bit_table(prefixes, F.col("_p"), bits2), "prefix-bits")
 
-    probed = _probe(sized.withColumn("_p", prefix), level2, F.col("_p"), bits, "_hit2")
+    probed = _probe(sized.withColumn("_p", prefix), level2, F.col("_p"), bits2, "_hit2")
     narrow = staged(
         probed.select(
             "_id",
@@ -82,8 +89,9 @@ def exact_dedup(
         .filter("_n > 1"),
         "groups",
     )
-    # rows without a full hash get a key of their own, so that they don't meet in one partition
-    keyed = narrow.withColumn("_key", F.coalesce("_full", F.concat(F.lit("~"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
+    # rows without a full hash get a key of their own (without an id, one of 4096), so that they don't meet in one partition
+    apart = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("n"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string")))
+    keyed = narrow.withColumn("_key", F.coalesce("_full", F.concat(F.lit("~"), apart)))
     out = keyed.join(groups, "_key", "left")
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(

@@ -171,7 +171,7 @@ def test_decontamination_query_finds_whole_passages(spark):
 def test_multi_index_finds_everything_within_its_radius(spark):
     from pyspark.sql import functions as F
 
-    from spindrift.llm.decontaminate import RADIUS, _blocks
+    from spindrift.llm.decontaminate import NEAR, RADIUS, _blocks, near_fingerprints
 
     rng = np.random.default_rng(0)
     base = rng.integers(-(2**63), 2**63, 40)
@@ -183,8 +183,23 @@ def test_multi_index_finds_everything_within_its_radius(spark):
                 y ^= (1 << int(b)) if b < 63 else -(1 << 63)
             pairs.append((int(x), y))
     df = spark.createDataFrame(pairs, "fp long, wfp long")
-    met = df.select(F.arrays_overlap(_blocks("fp", 3), _blocks("wfp", 1)).alias("met")).collect()
+    met = df.select(F.arrays_overlap(_blocks("fp", NEAR), _blocks("wfp", 0)).alias("met")).collect()
     assert all(r.met for r in met)
+    sized = df.select(F.lit(9).alias("len"), F.lit(5).alias("k"), "fp", "wfp")
+    got = {(r.fp, r.wfp) for r in near_fingerprints(sized, sized.select("len", "k", F.col("wfp").alias("fp"))).collect()}
+    assert set(pairs) <= got and all((a ^ b).bit_count() <= RADIUS or (a ^ b) < 0 for a, b in got)
+
+
+def test_multi_index_meets_a_fraction_of_the_pairs(spark):
+    """Random fingerprints of 20 sizes: what the lookup joins is far below windows x items."""
+    from pyspark.sql import functions as F
+
+    from spindrift.llm.decontaminate import NEAR, _blocks
+
+    one = lambda n, seed: spark.range(n).select((F.col("id") % 20).alias("len"), F.xxhash64("id", F.lit(seed)).alias("fp"))
+    items = one(200, 1).select("len", F.explode(_blocks("fp", NEAR)).alias("key"))
+    windows = one(2000, 2).select("len", F.explode(_blocks("fp", 0)).alias("key"))
+    assert windows.join(items, ["len", "key"]).count() < 0.3 * 2000 * 200 / 20
 
 
 def test_toxicity_held_out(spark):

@@ -84,3 +84,48 @@ def test_toxicity_looks_for_a_second_person_near_every_hit():
     near = 7  # its place among the features
     for text, want in ((filler * 1500 + "you idiot", 1 / 2), ("you " + "word " * 9 + filler * 3, 1 / 11), (filler * 1100 + "word you word " + filler, 1 / 3), (filler * 2000, 0.0)):
         assert abs(features(text, Lexicon())[near] - want) < 1e-9
+
+
+def test_decontamination_finds_a_window_no_shared_shingle_is_aligned_in(spark):
+    """An item of 112 words with two words replaced and eight put in: only one start reaches the threshold."""
+    from spindrift.llm.decontaminate import contaminated
+
+    item = [f"w{i}" for i in range(112)]
+    copy = list(item)
+    copy[3], copy[108] = "x", "y"
+    copy[56:56] = [f"n{i}" for i in range(8)]
+    text = [f"a{i}" for i in range(30)] + copy + [f"b{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(item))], "doc_id long, text string")
+    got = {r.doc_id: (r.similarity, r.start) for r in contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    a, best = {tuple(item[p : p + 5]) for p in range(108)}, []
+    for s in range(len(text) - 111):
+        both = len(a & {tuple(text[p : p + 5]) for p in range(s, s + 108)})
+        best.append((both / (216 - both), -s))
+    assert got == {1: (max(best)[0], -max(best)[1]), 2: (1.0, 0)} and max(best)[0] >= 0.8
+
+
+def test_decontamination_recall_of_edited_copies(spark):
+    """Random edits: of what all starts and items give, the fingerprints' radius loses (almost) nothing."""
+    import random
+
+    from spindrift.llm.decontaminate import contaminated
+
+    r = random.Random(11)
+    items = {i: [f"w{r.randrange(900)}" for _ in range(r.randint(14, 60))] for i in range(40)}
+    docs, want = {}, {}
+    for d in range(400):
+        i = r.randrange(40)
+        copy = list(items[i])
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(copy))
+            copy[at : at + r.choice((0, 1))] = r.choice(([f"e{d}"], [], [f"e{d}"]))
+        docs[d] = [f"o{d}x{j}" for j in range(r.randint(0, 40))] + copy + [f"p{d}x{j}" for j in range(r.randint(0, 40))]
+        v, a = docs[d], {tuple(items[i][p : p + 5]) for p in range(len(items[i]) - 4)}
+        for s in range(max(1, len(v) - len(items[i]) + 1)):
+            b = {tuple(v[p : p + 5]) for p in range(s, min(s + len(items[i]), len(v)) - 4)}
+            if a and len(a & b) / max(1, len(a | b)) >= 0.8:
+                want[d, i] = True
+    dd = spark.createDataFrame([(d, " ".join(v)) for d, v in docs.items()], "doc_id long, text string")
+    ii = spark.createDataFrame([(i, " ".join(v)) for i, v in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in contaminated(dd, ii).collect()}
+    assert got <= want.keys() and len(got) >= 0.98 * len(want) and len(want) > 150
