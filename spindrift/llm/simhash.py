@@ -3,13 +3,15 @@
 Fingerprints: one bit a position, set where more than half of the shingle hashes (XXH64, seed 42) set it.
 Equal fingerprints collapse first, so copies cost one entry however many they are.
 
-Search: two fingerprints that differ in at most 3 bits agree on one of four 16-bit blocks, and, of the
-other 48 bits, on one of four 12-bit blocks. Each distinct fingerprint goes under these 16 keys of 28
-bits, so keys stay small as the corpus grows and no pair within the radius is lost. Under each key the
-fingerprints are sorted by Gray rank and indexed as a tree: a node keeps the bits its whole group shares
-as a masked pattern, without those its parent has already, so a search adds up differences on its way down and
-drops a whole group as soon as they pass the radius. Groups whose members cannot differ by
-more than the radius are linked whole. A key hands on a spanning forest, never its pairs.
+Search: the distinct fingerprints are sorted by Gray rank and indexed as a tree: a node keeps the bits that its whole
+group shares as a masked pattern, without those its parent has already, so a search adds up differences on its way down
+and drops a whole group as soon as they pass the radius. Groups whose members cannot differ by more than the radius are
+linked whole. A coarse key routes: of four blocks of ``r`` bits, disjoint, one is equal within 3 differing bits, so each
+fingerprint goes into four tables by one block each; r grows with the corpus (0 to 16), so that a key keeps thousands
+of members and the trees below it do the search. A table's keys are range-partitioned by (key, Gray rank) and cut into
+segments of bounded size, the trees; a segment is searched with its own members, and, where a key has several, with those
+members of the key's other segments whose differences from the segment's root pattern stay within the radius. So a
+hot key is many tasks. A segment hands on a spanning forest, never its pairs.
 
 Components: large-star/small-star rounds over the forests, each staged in the shared folder.
 
@@ -24,14 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spindrift.llm.common import drop_staged, parallelism, staged, text_or_empty
 
 RADIUS = 3
-FAN = 16
+FAN = 4
 FRONTIER = 1 << 18
+SEGMENT = 1 << 15  # members of a tree at most
+KEEP = 1 << 12  # members that a routing key should keep
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
@@ -58,16 +64,19 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(_WEIGHTS[ones * 2 > n].sum(dtype=np.uint64))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) and the ``carry`` columns of every row."""
+    names = [f"_k{i}" for i in range(1 + len(carry))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["_text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"_id": pdf["_id"], "fp": fp})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle) for t in b["_text"].to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in names], pa.array(fp)], names=[*names, "fp"])
 
-    rows = df.select(F.col(id_col).cast("string").alias("_id"), text_or_empty(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id string, fp long").select(F.col("_id").cast("long").alias(id_col), "fp")
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip((id_col, *carry), names)], text_or_empty(text_col).alias("_text"))
+    kinds = StructType([*rows.schema.fields[:-1], StructField("fp", LongType())])
+    got = rows.mapInArrow(run, kinds)
+    return got.select(F.col("_k0").alias(id_col), "fp", *[F.col(n).alias(c) for c, n in zip(carry, names[1:])])
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -95,6 +104,8 @@ class GrayIndex:
             low["free"] = 64 - np.bitwise_count(low["mask"]).astype(np.int64)
         self.levels[0]["rest"] = self.levels[0]["mask"]
         self.levels[0]["free"] = 64 - np.bitwise_count(self.levels[0]["mask"]).astype(np.int64)
+        self.visited = np.zeros(len(self.levels), np.int64)  # nodes compared on each level, roots first
+        self.pruned = np.zeros(len(self.levels), np.int64)  # of these, dropped with all that is below
 
     @staticmethod
     def _group(low: dict) -> dict:
@@ -133,6 +144,7 @@ class GrayIndex:
             root = _roots(parent)
             one = [_uniform(root, level["start"]) for level in self.levels]
             self._search(q, group[q], radius, parent, root.copy(), one)
+        self.parent = parent
         root = _roots(parent)
         at = np.flatnonzero(root != np.arange(len(root)))
         return at, root[at]
@@ -149,6 +161,8 @@ class GrayIndex:
                 node = np.repeat(up["first"][node] - np.r_[0, np.cumsum(kids)[:-1]], kids) + np.arange(kids.sum())
                 q, acc = np.repeat(q, kids), np.repeat(acc, kids)
             acc = acc + np.bitwise_count((self.fp[q] ^ level["pattern"][node]) & level["rest"][node])
+            self.visited[depth] += len(q)
+            self.pruned[depth] += int((acc > radius).sum())
             near = (acc <= radius) & (level["end"][node] > q + 1) & (one[depth][node] != root[q])  # a pair is met once, from its first
             q, node, acc = q[near], node[near], acc[near]
             whole = acc + level["free"][node] <= radius  # the group cannot differ by more: take it whole
@@ -159,6 +173,40 @@ class GrayIndex:
                 step = max(1, FRONTIER // FAN)
                 stack += [(depth + 1, q[i : i + step], node[i : i + step], acc[i : i + step]) for i in range(0, len(q), step)]
 
+    def matches(self, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+        """For queries from outside an index of one key: a spanning set of (query, position) links, in order of the query.
+
+        A query links to the first member of each component it meets; its own components are given by ``links``.
+        """
+        root = _roots(self.parent) if hasattr(self, "parent") else np.arange(len(self.fp))
+        one = [_uniform(root, level["start"]) for level in self.levels]
+        out = []
+        step = max(1, FRONTIER // FAN)
+        stack = [(0, np.arange(i, min(i + step, len(fp))), np.zeros(min(step, len(fp) - i), np.int64), np.zeros(min(step, len(fp) - i), np.int64)) for i in range(0, len(fp), step)]
+        while stack:
+            depth, q, node, acc = stack.pop()
+            level = self.levels[depth]
+            if depth:
+                up = self.levels[depth - 1]
+                kids = up["kids"][node]
+                node = np.repeat(up["first"][node] - np.r_[0, np.cumsum(kids)[:-1]], kids) + np.arange(kids.sum())
+                q, acc = np.repeat(q, kids), np.repeat(acc, kids)
+            acc = acc + np.bitwise_count((fp[q] ^ level["pattern"][node]) & level["rest"][node])
+            self.visited[depth] += len(q)
+            self.pruned[depth] += int((acc > radius).sum())
+            near = acc <= radius
+            q, node, acc = q[near], node[near], acc[near]
+            # all of the group is near and in one component: its first member stands for it
+            whole = (acc + level["free"][node] <= radius) & (one[depth][node] >= 0)
+            out.append(np.stack([q[whole], level["start"][node[whole]]]))
+            q, node, acc = q[~whole], node[~whole], acc[~whole]
+            if depth < len(self.levels) - 1:
+                stack += [(depth + 1, q[i : i + step], node[i : i + step], acc[i : i + step]) for i in range(0, len(q), step)]
+        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        found = np.stack([found[0], root[found[1]]]) if found.size else found
+        found = np.unique(found, axis=1)
+        return found[0], found[1]
+
     @staticmethod
     def _take(q: np.ndarray, node: np.ndarray, level: dict, parent: np.ndarray) -> None:
         """Link queries to every member of their nodes, some members at a time."""
@@ -192,39 +240,107 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _key_sql(t: int, u: int) -> str:
-    """Key (t, u): block t of 16 bits and block u of 12 bits of the other 48, under 4 bits that name the table."""
-    block = f"(shiftrightunsigned(fp, {16 * t}) & 65535L)"
-    low = f"(fp & {(1 << 16 * t) - 1}L)"
-    rest = low if t == 3 else f"(shiftleft(shiftrightunsigned(fp, {16 * t + 16}), {16 * t}) | {low})"
-    return f"shiftleft({4 * t + u}L, 28) | shiftleft({block}, 12) | (shiftrightunsigned({rest}, {12 * u}) & 4095L)"
+def gray_rank_column(fp: Column) -> Column:
+    """``gray_rank`` of a signed long; the order of signed ranks keeps shared prefixes together as well."""
+    for n in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, n))
+    return fp
 
 
-def hamming_links(fps: DataFrame, keys_per_task: int = 250_000) -> DataFrame:
-    """Spanning links (a, b) of the graph on distinct fingerprints ``fps.fp`` within RADIUS bits, b the smaller."""
-    keys = ", ".join(_key_sql(t, u) for t in range(4) for u in range(4))
-    parts = max(parallelism(fps.sparkSession), fps.count() * 16 // keys_per_task + 1)
-    keyed = fps.select("fp", F.explode(F.expr(f"array({keys})")).alias("key"))
+def routing_bits(n: int) -> int:
+    """Bits of a block that make a key of n fingerprints keep KEEP members or more."""
+    return max(0, min(16, (n // KEEP).bit_length() - 1))
+
+
+def routed(fps: DataFrame, bits: int) -> DataFrame:
+    """(key, fp): a row for each of the four tables, or one for all if no bits route."""
+    if not bits:
+        return fps.select(F.lit(0).cast("long").alias("key"), "fp")
+    block = lambda t: F.shiftrightunsigned(F.col("fp"), 16 * t).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return fps.select("fp", F.explode(F.array(*[block(t).bitwiseOR(F.lit(t << 16).cast("long")) for t in range(4)])).alias("key")).select("key", "fp")
+
+
+def _links_of(index: GrayIndex, fp: np.ndarray) -> pd.DataFrame:
+    a, b = index.links()
+    x, y = fp[a].view(np.int64), fp[b].view(np.int64)
+    return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+
+def segments(fps: DataFrame, bits: int, per_task: int, most: int) -> DataFrame:
+    """Rows of two kinds, staged: a member of a segment (seg, key, fp), and a spanning link inside a segment (a, b).
+
+    Segments are runs of one key in Gray order, of at most ``most`` members, within a partition. Trees of small keys are
+    built and searched together.
+    """
+    keyed = routed(fps, bits).withColumn("rank", gray_rank_column(F.col("fp")))
+    parts = max(parallelism(fps.sparkSession), fps.count() * (4 if bits else 1) // per_task + 1)
+    ordered = keyed.repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank").select(F.spark_partition_id().alias("part"), "key", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [(b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64)) for b in batches]
-        if not got:
-            return
-        key, fp = (np.concatenate(x) for x in zip(*got))
-        fp = fp.view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
-        with_others = np.r_[False, key[1:] == key[:-1]] | np.r_[key[1:] == key[:-1], False]
-        key, fp = key[with_others], fp[with_others]
-        if not len(key):
-            return
-        order = np.lexsort((gray_rank(fp), key))
-        key, fp = key[order], fp[order]
-        a, b = GrayIndex(key, fp).links()
-        links = np.unique(np.stack([fp[a].view(np.int64), fp[b].view(np.int64)], axis=1), axis=0)
-        yield pd.DataFrame({"a": links.max(axis=1), "b": links.min(axis=1)})
-
-    return keyed.repartition(parts, "key").mapInPandas(run, "a long, b long").distinct()
+        seg, held, size = 0, [], 0
+
+        def flush(key: np.ndarray, fp: np.ndarray, part: int) -> Iterator[pd.DataFrame]:
+            nonlocal seg
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+            own = np.cumsum((place % most == 0).astype(np.int64)) - 1
+            n = int(own[-1]) + 1
+            yield pd.DataFrame({"seg": (np.int64(part) << 32) + seg + own, "key": key, "fp": fp.view(np.int64), "a": pd.array([None] * len(fp), "Int64"), "b": pd.array([None] * len(fp), "Int64")})
+            seg += n
+            links = _links_of(GrayIndex(own, fp), fp)
+            if len(links):
+                nothing = pd.array([None] * len(links), "Int64")
+                yield pd.DataFrame({"seg": nothing, "key": nothing, "fp": nothing, "a": links["a"].astype("Int64"), "b": links["b"].astype("Int64")})
+
+        part = 0
+        for b in batches:
+            part = int(b["part"].iloc[0])
+            held.append((b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)))
+            size += len(b)
+            if size >= 2 * most:  # whole keys so far, or whole segments of a large one
+                key, fp = (np.concatenate(x) for x in zip(*held))
+                start = int(np.searchsorted(key, key[-1]))
+                cut = start or size // most * most
+                yield from flush(key[:cut], fp[:cut], part)
+                held, size = [(key[cut:], fp[cut:])], size - cut
+        if size:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)), part)
+
+    return staged(ordered.mapInPandas(run, "seg long, key long, fp long, a long, b long"), "segments")
+
+
+def hamming_links(fps: DataFrame, per_task: int = 1 << 17, most: int = SEGMENT, bits: int | None = None) -> DataFrame:
+    """Spanning links (a, b) of the graph on distinct fingerprints ``fps.fp`` within RADIUS bits, b the smaller."""
+    bits = routing_bits(fps.count()) if bits is None else bits
+    rows = segments(fps, bits, per_task, most)
+    members = rows.filter("seg is not null").select("seg", "key", "fp")
+    inside = rows.filter("a is not null").select("a", "b")
+
+    # the roots of the keys that have several segments: one row each, at most two a partition and one for every ``most`` rows of a hot key
+    nodes = members.groupBy("key", "seg").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"), F.count(F.lit(1)).alias("n"))
+    several = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("segs")).filter("segs > 1").select("key")
+    roots = staged(nodes.join(several, "key").select("key", F.col("seg").alias("other"), "ones", F.bitwise_not(F.col("ones").bitwiseXOR(F.col("some"))).alias("mask")), "segment-roots")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("ones")).bitwiseAND(F.col("mask")))
+    asked = members.join(roots, "key").filter((F.col("seg") < F.col("other")) & (far <= RADIUS)).select(F.col("other").alias("seg"), "fp")
+    asked = staged(asked, "segment-queries")
+    # a segment's queries in lots of about ``most``, each met by a copy of the members, so that a group is bounded
+    lots = asked.groupBy("seg").agg(F.floor(F.count(F.lit(1)) / most + 1).cast("int").alias("lots"))
+    queries = asked.join(lots, "seg").select("seg", F.pmod(F.xxhash64("fp"), F.col("lots")).cast("int").alias("lot"), "fp")
+    met = members.join(lots, "seg").select("seg", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "fp")
+
+    def across(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        fp, own = q["fp"].to_numpy(np.int64).view(np.uint64), m["fp"].to_numpy(np.int64).view(np.uint64)
+        if not len(fp) or not len(own):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        own = own[np.argsort(gray_rank(own))]
+        index = GrayIndex(np.zeros(len(own), np.int64), own)
+        index.links()
+        at, to = index.matches(fp)
+        x, y = fp[at].view(np.int64), own[to].view(np.int64)
+        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    between = queries.groupBy("seg", "lot").cogroup(met.groupBy("seg", "lot")).applyInPandas(across, "a long, b long")
+    return inside.unionByName(between).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,12 +367,18 @@ def components(links: DataFrame) -> DataFrame:
         links = after
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id, fp, component_id of every row; component_id is the smallest id reachable over links of at most 3 bits."""
-    rows = staged(fingerprints(df, id_col, text_col, shingle).select(F.col(id_col).alias("_id"), "fp"), "fingerprints")
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, fp, component_id, component and the ``carry`` columns of every row.
+
+    component_id is the smallest id reachable over links of at most 3 bits; ``component`` is the smallest fingerprint of
+    these (as a signed long) and so tells components apart even where rows share an id or have none.
+    """
+    names = [f"_c{i}" for i in range(len(carry))]
+    given = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(carry, names)])
+    rows = staged(fingerprints(given, "_id", "_text", shingle, tuple(names)), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("_id").alias("_low")), "distinct-fps")
     roots = staged(components(hamming_links(fps.select("fp"))).withColumnRenamed("v", "fp"), "roots")
     owned = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = owned.join(owned.groupBy("root").agg(F.min("_low").alias("component_id")), "root")
-    table = staged(named.select("fp", "component_id"), "components")
-    return rows.join(table, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    table = staged(named.select("fp", "component_id", F.col("root").alias("component")), "components")
+    return rows.join(table, "fp").select(F.col("_id").alias(id_col), "fp", "component_id", "component", *[F.col(n).alias(c) for c, n in zip(carry, names)])

@@ -118,6 +118,46 @@ def test_gray_index_finds_every_link(seed):
         assert {int(i): root[int(i)] for i in at} == want
 
 
+def test_gray_index_prunes_whole_groups():
+    """Random fingerprints, few links: the upper levels drop groups, and most members are never compared."""
+    from spindrift.llm.simhash import GrayIndex, gray_rank
+
+    rng = np.random.default_rng(5)
+    fp = np.unique(rng.integers(0, 2**64, 6000, dtype=np.uint64))
+    fp = np.unique(np.r_[fp, fp[:50] ^ np.uint64(5)])
+    fp = fp[np.argsort(gray_rank(fp))]
+    index = GrayIndex(np.zeros(len(fp), np.int64), fp)
+    a, b = index.links()
+    assert len(a) == 50 and (np.bitwise_count(fp[a] ^ fp[b]) <= 3).all()
+    pairs = len(fp) * (len(fp) - 1) // 2
+    assert len(index.levels) == 8 and (index.pruned[-5:] > 0).all()
+    assert index.pruned[:-1].sum() > 50 * len(fp) and index.visited[-1] < pairs // 4  # groups above the leaves; leaves reached
+    q = fp[::7] ^ np.uint64(1 << 40)
+    at, to = index.matches(q)
+    want = {(i, int(j)) for i in range(len(q)) for j in np.flatnonzero(np.bitwise_count(q[i] ^ fp) <= 3)}
+    root = {int(x): int(y) for x, y in zip(a, b)}
+    assert {(int(x), int(y)) for x, y in zip(at, to)} == {(i, root.get(j, j)) for i, j in want}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_segments_split_hot_keys_and_lose_no_link(spark, bits):
+    from spindrift.llm.simhash import components, hamming_links, segments
+
+    rng = np.random.default_rng(2)
+    fp = [int(x) for x in rng.integers(-(2**63), 2**63, 300)]
+    for _ in range(1200):  # a ball around one fingerprint, and small families
+        x = fp[0] if rng.random() < 0.7 else fp[rng.integers(0, 300)]
+        for _ in range(rng.integers(1, 6)):
+            x ^= 1 << int(rng.integers(0, 63))
+        fp.append(x)
+    fps = spark.createDataFrame([(x,) for x in sorted(set(fp))], "fp long")
+    sizes = segments(fps, bits, 400, 100).filter("seg is not null").groupBy("seg").count()
+    assert max(r["count"] for r in sizes.collect()) <= 100
+    root = {r.v: r.root for r in components(hamming_links(fps, 400, 100, bits)).collect()}
+    want = brute_components({x: x & (2**64 - 1) for x in set(fp)})
+    assert {x: root.get(x, x) for x in want} == want
+
+
 def test_simhash_hostile(spark):
     from spindrift.llm.simhash import simhash_groups
 
