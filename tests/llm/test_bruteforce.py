@@ -53,6 +53,47 @@ def test_warc_salvage_covers_every_byte():
     assert list(salvage(b"")) == []
 
 
+def test_warc_salvage_tries_both_marks():
+    """A plain archive with a damaged first line and gzip's magic in a payload, mixed archives, and members of several records."""
+    from spindrift.llm.warc import gzip_member, make_record, salvage
+
+    ids = lambda data: [x["record_id"] for kind, _, _, x in salvage(data) if kind == "record"]
+    plain = [make_record(str(i), f"http://x/{i}", (f"page {i} " * 50).encode() + (b"\x1f\x8b\x08" if i == 4 else b""), None) for i in range(10)]
+    data = b"junk" + b"".join(plain)[4:]
+    assert ids(data) == [str(i) for i in range(1, 10)]
+    assert [(a, n) for kind, a, n, _ in salvage(data) if kind == "gap"] == [(0, len(plain[0]))]
+    mixed = b"".join(gzip_member(p) if i % 2 else p for i, p in enumerate(plain))
+    assert ids(mixed) == [str(i) for i in range(10)] and ids(b"\x1f\x8b" + mixed) == [str(i) for i in range(10)]
+    one = gzip_member(b"".join(plain))
+    assert ids(one) == [str(i) for i in range(10)] and sum(n for _, _, n, _ in salvage(one)) == len(one)
+    hurt = gzip_member(b"".join(plain[:3]) + plain[3][9:] + b"".join(plain[4:]))
+    assert ids(hurt + one) == [str(i) for i in range(10) if i != 3] + [str(i) for i in range(10)]
+    assert [n for kind, _, n, _ in salvage(hurt) if kind == "gap"] == [0]
+
+
+def test_warc_reads_others_records():
+    from spindrift.llm.warc import parse_record, salvage
+
+    head = b"WARC/0.18\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\nWARC-Target-URI: http://a\r\n /b\r\nX-Payload-Length: many\r\nWARC-Block-Digest: md5:00\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    r = parse_record(head)
+    assert (r["record_type"], r["target"], r["payload_bytes"], r["size"]) == ("resource", "http://a /b", 0, len(head))
+    assert [kind for kind, *_ in salvage(head * 3)] == ["record"] * 3
+
+
+def test_warc_reads_archives_piece_by_piece():
+    import io
+
+    from spindrift.llm.warc import gzip_member, make_record, salvage_stream
+
+    rng = np.random.default_rng(0)
+    parts = [make_record(str(i), "u", rng.bytes(int(rng.integers(0, 300_000))), None) for i in range(12)]
+    for data in (b"".join(parts), b"".join(map(gzip_member, parts)), b"x" * 100_000 + b"WAR" + b"".join(parts)[:-1]):
+        want = list(salvage_stream(io.BytesIO(data), 1 << 30))
+        for step in (1000, 65_536):
+            assert list(salvage_stream(io.BytesIO(data), step)) == want
+        assert sum(n for _, _, n, _, _ in want) == len(data)
+
+
 def slow_fingerprint(text: str) -> int:
     import re
 
