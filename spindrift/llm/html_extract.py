@@ -2,8 +2,8 @@
 
 A page becomes its sequence of leaf blocks: runs of text between block-level tags, character references
 decoded, white space folded; scripts, styles, comments and other non-text go in the parser. Each block gets a
-vector: hashed tag-path features (the open tags with their class and id words, each alone and with its depth
-from the leaf), hashed words, and a few counts. A bidirectional LSTM in numpy reads a page's vectors in order and
+vector: hashed tag-path features (all open tags with their class and id words, each tag also with its distance
+from the leaf, 3 and more being one), all its words hashed, and a few counts. A bidirectional LSTM in numpy reads a page's vectors in order and
 labels every block as main text or not with the whole document as context. The main blocks are joined by two
 line breaks.
 
@@ -13,17 +13,19 @@ Pages are labelled in batches of like length. A very long page is read in chunks
 going on from the states the chunk before left: the labels are those of the whole page, and nothing is cut off.
 
 Defined cases: null and empty html give an empty text; malformed markup is read as browsers' parsers would,
-roughly: an unclosed script swallows the rest, stray closing tags are ignored; rows that repeat are extracted one by
+roughly: the head ends at the first tag or text that cannot stand in it, an unclosed script swallows the rest, stray closing tags are ignored; rows that repeat are extracted one by
 one; an empty table gives an empty result; other columns are ignored unless in ``carry``.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
 import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -40,22 +42,43 @@ SKIP = frozenset("script style noscript template iframe object svg math canvas a
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup"}
 IMPLIED = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SCOPE = frozenset("html body article section div aside nav header footer main ul ol dl table form blockquote td th figure".split())
 
 N_PATH, N_WORD, N_COUNT = 96, 32, 9
 WIDTH = N_PATH + N_WORD + N_COUNT
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
-Block = tuple[tuple[str, ...], str, int]
+
+
+@functools.lru_cache(1 << 16)
+def _bit(name: str) -> int:
+    return 1 << crc32(name.encode("utf-8", "surrogatepass")) % N_PATH
+
+
+class Open(NamedTuple):
+    """An open tag: the path features of it and all around it, as bits; ``far`` are those of its tags at distance 3 or more."""
+
+    tag: str
+    path: int
+    far: int
+
+
+class Block(NamedTuple):
+    path: int
+    depth: int
+    leaf: str
+    text: str
+    links: int  # characters inside links
 
 
 class BlockParser(HTMLParser):
-    """Collects (path, text, characters inside links) of each leaf block; a path item is ``tag`` or ``tag.word.word``."""
+    """Collects the leaf blocks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[Open] = []
         self.pieces: list[str] = []
         self.links = self.skipped = self.in_link = 0
 
@@ -63,39 +86,53 @@ class BlockParser(HTMLParser):
         if self.pieces:
             text = SPACE.sub(" ", "".join(self.pieces)).strip()
             if text:
-                self.blocks.append((tuple(p for _, p in self.stack), text, self.links))
+                self.blocks.append(Block(self._path(), len(self.stack), self.stack[-1].tag if self.stack else "", text, self.links))
             self.pieces, self.links = [], 0
 
+    def _path(self) -> int:
+        path = self.stack[-1].path if self.stack else 0
+        for up, x in enumerate(reversed(self.stack[-3:])):
+            path |= _bit(f"t{x.tag}{up}")
+        return path | (self.stack[-4].far if len(self.stack) > 3 else 0)
+
     def _pop(self, n: int) -> None:
-        for tag, _ in self.stack[n:]:
+        for tag, _, _ in self.stack[n:]:
             self.skipped -= tag in SKIP
             self.in_link -= tag == "a"
         del self.stack[n:]
 
     def _close(self, tags: Sequence[str], scope: frozenset) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
+            tag = self.stack[i].tag
             if tag in tags:
                 return self._pop(i)
             if tag in scope:
                 return None
         return None
 
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1].tag == "head":
+            self._pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             self.flush()
             if tag in CLOSES_P:
                 self._close(("p",), SCOPE)
             if tag in IMPLIED:
                 self._close(IMPLIED[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE - set(IMPLIED[tag]))
-            if tag == "body":
-                self._close(("head",), frozenset())
         if tag == "br":
             self.pieces.append(" ")
         if tag in VOID:
             return
         words = [w for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v.lower())]
-        self.stack.append((tag, ".".join([tag, *words[:6]])))
+        around = self.stack[-1] if self.stack else Open("", 0, 0)
+        path = around.path | _bit(f"t{tag}")
+        for w in words:
+            path |= _bit(f"w{w}")
+        self.stack.append(Open(tag, path, around.far | _bit(f"t{tag}3")))
         self.skipped += tag in SKIP
         self.in_link += tag == "a"
         if tag in SKIP and tag not in self.CDATA_CONTENT_ELEMENTS:
@@ -108,15 +145,17 @@ class BlockParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 if tag in BLOCK:
                     self.flush()
                 return self._pop(i)
-            if tag not in BLOCK and self.stack[i][0] in BLOCK and self.stack[i][0] != "p":
+            if tag not in BLOCK and self.stack[i].tag in BLOCK and self.stack[i].tag != "p":
                 return None
         return None
 
     def handle_data(self, data: str) -> None:
+        if self.skipped and self.stack and self.stack[-1].tag == "head" and data.strip():
+            self._end_head()
         if not self.skipped:
             self.pieces.append(data)
             if self.in_link:
@@ -131,38 +170,24 @@ def blocks_of(html: str) -> list[Block]:
     return parser.blocks
 
 
-@functools.lru_cache(1 << 14)
-def _path_vector(path: tuple[str, ...]) -> tuple[tuple[int, ...], int]:
-    at = set()
-    for up, item in enumerate(reversed(path[-12:])):
-        tag, *words = item.split(".")
-        at.add(crc32(f"t{tag}".encode()) % N_PATH)
-        at.add(crc32(f"t{tag}{min(up, 3)}".encode()) % N_PATH)
-        for w in words:
-            at.add(crc32(f"w{w}".encode()) % N_PATH)
-    return tuple(at), len(path)
-
-
 def vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), WIDTH), np.float32)
-    for i, (path, text, links) in enumerate(blocks):
-        at, depth = _path_vector(path)
-        x[i, list(at)] = 1.0
-        n = len(text)
-        words = text.split(" ")
-        for w in words[:8]:  # the beginning tells menus and notices; every word would drown it
-            x[i, N_PATH + crc32(w.lower().encode("utf-8", "surrogatepass")) % N_WORD] += 0.3
-        leaf = path[-1].split(".")[0] if path else ""
+    paths = b"".join(b.path.to_bytes(N_PATH // 8, "little") for b in blocks)
+    x[:, :N_PATH] = np.unpackbits(np.frombuffer(paths, np.uint8).reshape(-1, N_PATH // 8), axis=1, bitorder="little")
+    for i, (_, depth, leaf, text, links) in enumerate(blocks):
+        n, low = len(text), text.lower()
+        words = low.encode("utf-8", "surrogatepass").split(b" ")
+        x[i, N_PATH : N_PATH + N_WORD] = np.bincount([crc32(w) % N_WORD for w in words], minlength=N_WORD) * (0.5 / math.sqrt(len(words)))
         x[i, N_PATH + N_WORD :] = (
-            np.log1p(n) / 6,
-            np.log1p(len(words)) / 5,
+            math.log1p(n) / 6,
+            math.log1p(len(words)) / 5,
             min(1.0, links / max(1, n)),
             i / max(1, len(blocks) - 1),
             min(depth, 16) / 16,
             float(leaf in ("p", "b", "i", "em", "strong", "span", "blockquote", "pre")),
             float(leaf[:1] == "h" and leaf[1:].isdigit()),
             float(text[-1:] in ".!?…\"”"),
-            float("©" in text or "cookie" in text.lower()[:400]),
+            float("©" in text or "cookie" in low),
         )
     return x
 
@@ -249,7 +274,7 @@ def main_texts(htmls: Sequence[str], model: Labeller | None = None) -> list[str]
     """The main text of each page."""
     parsed = [blocks_of(h) for h in htmls]
     labels = (model or labeller()).label([vectors(b) for b in parsed])
-    return ["\n\n".join(text for (_, text, _), keep in zip(blocks, ks) if keep) for blocks, ks in zip(parsed, labels)]
+    return ["\n\n".join(b.text for b, keep in zip(blocks, ks) if keep) for blocks, ks in zip(parsed, labels)]
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", carry: Sequence[str] = ("page_id", "url"), group: int = 64) -> DataFrame:

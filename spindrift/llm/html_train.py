@@ -16,7 +16,7 @@ from spindrift.llm import html_extract as H
 HIDDEN = 20
 EMBED = 32
 # What layouts call things. Main text stands in one of MAIN; the rest is not main text.
-MAIN = ("<article>", "<main>", '<div class="content">', '<div id="main">', '<div class="post-body">', '<section class="entry">', '<div class="story">', '<div class="article text">', "<main><article>", '<div class="wrapper"><article>')
+MAIN = ("<article>", "<article>", "<main>", '<div class="entry-content">', '<td class="text">', '<div class="body"><div class="inner"><div class="text">', '<div class="content">', '<div id="main">', '<div class="post-body">', '<section class="entry">', '<div class="story">', '<div class="article text">', "<main><article>", '<div class="wrapper"><article>')
 SYLLABLES = {
     "en": "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve the and".split(),
     "de": "en er ch te de nd ie ge st in sch un ei be au ung keit heit lich ver ö ü ß ä der die das".split(),
@@ -92,10 +92,10 @@ class Pages:
         """Main text, in any of the shapes that it takes."""
         r = self.r
         text = self.words(1, r.choice((4, 12, 40, 120, 250)))
-        if r.random() < 0.12:
-            text = " ".join(x + r.choice((" |", "%%%", "###", "$$$", "***", "&amp;&amp;")) for x in text.split())
-        if r.random() < 0.08:
-            text = text.upper().replace(" ", r.choice((" ", "!! ", "! ")))
+        if r.random() < 0.06:  # tables set as text, formulas, rows of signs
+            text = " ".join(x + r.choice((" |", " =", " + ", "~", "***", "&amp;&amp;", " 12.50")) for x in text.split())
+        if r.random() < 0.05:
+            text = text.upper() + r.choice(("", "!", "!!"))
         kind = r.randrange(20)
         if kind < 9:
             return f"<p>{text}</p>" * (r.choice((2, 3, 6, 12)) if r.random() < 0.06 else 1)
@@ -122,7 +122,9 @@ class Pages:
         r = self.r
         self.lang = r.choice(list(SYLLABLES))
         main_open = r.choice(MAIN) if r.random() < 0.93 else ""
-        out: list[tuple[str, bool]] = [(f"<!DOCTYPE html><html><head><title>{self.short()}</title><style>p{{}}</style></head><body>", False)]
+        head = f"<title>{self.short()}</title><style>p{{}}</style>"
+        frames = (f"<!DOCTYPE html><html><head>{head}</head><body>",) * 3 + (f"<!doctype html><html><head>{head}", f"<html><head>{head}</head>", f"<html>{head}<body class=page>", head)
+        out: list[tuple[str, bool]] = [(r.choice(frames), False)]
         other = self.lang if r.random() < 0.5 else r.choice(list(SYLLABLES))
         own = self.lang
 
