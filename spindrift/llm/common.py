@@ -1,12 +1,13 @@
 """What the operators share: the cluster's shared folder, staged tables and file access.
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``; it must be
-reachable from the driver and every executor. Only where it is unset (tests, a laptop) a temporary
-folder of this machine is used.
+reachable from the driver and every executor. Only where it is unset and the master is local (tests, a laptop) a
+temporary folder of this machine is used; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI, without a trailing slash."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spindrift.shared.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spindrift.shared.dir", where)
     return where.rstrip("/") if urlparse(where).scheme else "file://" + where.rstrip("/")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import staged
 
 HEX = 3  # 16^3 blocks a source
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def weights(tokens: dict, exponent: float) -> dict:
@@ -121,8 +121,9 @@ def mix_sources(
     short = F.greatest(F.col("_rest") - F.col("_before"), F.lit(0).cast("long"))  # tokens that the block may still give
     table = staged(placed.select("_s", "_b", "_full", F.least(short, F.col("_t")).alias("_give"), ((short > 0) & (short < F.col("_t"))).alias("_cut"), (short > 0).alias("_in")), "mix-plan")
 
-    # at most 4096 short rows a source: broadcast while the sources are few, a plain join beyond
-    joined = rows.join(F.broadcast(table) if len(tokens) * 16**HEX <= BROADCAST_ROWS else table, ["_s", "_b"])
+    # at most 4096 short rows a source, whatever the number of documents: broadcast while they are small, a plain join beyond
+    size = len(tokens) * 16**HEX * (48 + max((len(s.encode()) for s in tokens), default=0))
+    joined = rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, ["_s", "_b"])
     inside = Window.partitionBy("_s", "_b").orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
     cut = joined.filter("_cut").withColumn("_last", F.coalesce(F.sum("_n").over(inside), F.lit(0).cast("long")) < F.col("_give"))
     done = joined.filter("not _cut").withColumn("_last", F.col("_in")).unionByName(cut)

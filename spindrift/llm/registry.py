@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from spindrift.llm import queries as q
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_tokens": q.op8_tokens,
         "op9_chat": q.op9_chat,
         "op10_html": q.op10_html,
-        "pipeline": corpus_pipeline.run,
     }
 
 

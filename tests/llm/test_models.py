@@ -255,12 +255,12 @@ def test_toxicity_held_out(spark):
 def test_toxicity_hostile(spark):
     from spindrift.llm.toxicity import fit_toxicity, score_toxicity
 
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "you idiot " * 30_000), (3, "fine")], "doc_id long, text string").selectExpr("*", "1 as score")
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "you idiot " * 30_000), (3, "fine"), (3, "not so fine"), (3, "fine")], "doc_id long, text string").selectExpr("*", "1 as score")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 1)], "doc_id long, toxic int")
     for labels in (none, one):
         rows = score_toxicity(docs, fit_toxicity(docs, labels)).collect()
-        assert len(rows) == 4 and len({r.score for r in rows}) == 1
+        assert len(rows) == 6 and len({r.score for r in rows}) == 1
     assert score_toxicity(docs.limit(0), fit_toxicity(docs, one)).count() == 0
 
 
@@ -446,21 +446,3 @@ def test_html_gradients():
             a[at] = old - eps
             slope, a[at] = (up - run()) / (2 * eps), old
             assert abs(slope - g[at]) < 2e-2 * max(1, abs(slope))
-
-
-@pytest.mark.parametrize("sf", [SF])
-def test_pipeline(spark, sf):
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in cp.STAGES[:-1]:
-        before = {r.doc_id for r in kept.select("doc_id").collect()}
-        kept = cp.staged(stage(spark, kept, sf), "test")
-        assert sorted(kept.columns) == sorted(docs.columns)
-        ids = {r.doc_id for r in kept.select("doc_id").collect()}
-        assert ids <= before
-        assert name != "mixing" or ids == before
-    out = cp.STAGES[-1][1](spark, kept, sf).collect()
-    assert len(out) == kept.count() and {r.doc_id for r in out} == ids
-    assert cp.run(spark, sf).count() == len(out)
