@@ -4,7 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 documents; the last returns a row for each document written. ``run`` writes every stage to the shared folder as
 Parquet and reads it back for the next, so a lost executor costs a stage's tasks at most.
 
-Rows without an id cannot be told apart by it: the stages that decide by id keep them.
+Stages decide by rows, not by ids: a row is told by a hash of all its columns, so rows that share an id but not their
+text, or have no id, are documents of their own. Defined cases: null and empty texts are empty documents (one of them stays
+after near-dedup); of a group of near-duplicates the row with the smallest id stays (null ids last, ties by the hash), once
+if it is repeated; without labels, or with labels of one class alone, nothing can be told apart and toxicity keeps all;
+empty tables give empty results; columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -25,27 +29,37 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MAX_REPEATS = 2.0
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """The columns of documents and a hash that tells rows apart."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score 0.5 or more) go."""
     bounded_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    if model.constant is not None:  # labels of one class, or none
+        return docs.select(*COLUMNS)
     scored = score_toxicity(docs, model, carry=COLUMNS[1:])
     return scored.filter(F.col("score") < 0.5).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates one row stays, that with the smallest id."""
     bounded_batches(spark)
-    groups = simhash_groups(docs)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    rows = _told(docs)
+    groups = simhash_groups(rows, carry=("_row",))
+    stay = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("m"))
+    stay = stay.select(F.col("m._row").alias("_row"), F.col("m.doc_id").alias("_id"))
+    kept = rows.join(stay, (rows["_row"] == stay["_row"]) & rows["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return kept.dropDuplicates(["_row", "doc_id"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window that is similar to a benchmark item go."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _told(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="_row").select("_row").distinct()
+    return rows.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
