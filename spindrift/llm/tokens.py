@@ -7,12 +7,12 @@ zstandard on its own; planes of zero bytes only cost a few bytes. The index is z
 JSON: plane kind, block size, and for each chunk its offset, ids and plane lengths; for each document its
 id and token count, in stream order.
 
-Order: documents are range-partitioned and sorted by id (ties by text), so files follow each other in
-ascending id order, and each file's base offset is a running sum over the manifest, one row a file.
+Order: documents are range-partitioned and sorted by id (ties by a hash of the text, so that rows of one id can be
+split as well), so files follow each other in ascending id order, and each file's base offset is a running sum over
+the manifest, one row a file, in blocks of partitions.
 
 Encoding is exact but memoised: the tokenizer never lets a token span white space, so each distinct
-word is encoded once by the tokenizers library and kept in a bounded memo; texts with
-the four control characters that Python and the library split differently are encoded whole.
+word is encoded once by the tokenizers library and kept in a bounded memo.
 
 Defined cases: a null text is empty, and an empty text is the end id alone; a null id sorts first; rows that repeat an
 id are written one after another; an empty table writes nothing and reads back no rows; other columns
@@ -24,13 +24,14 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,25 +39,31 @@ from spindrift.llm.common import filesystem, fresh_dir, parallelism, staged
 
 MAGIC = b"BPT1"
 MANIFEST = "file string, part int, seq int, docs long, ids long, bytes long"
-_ODD = re.compile("[\x1c-\x1f]")
-_TOUCHING = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+# Letters whose lower case and composition raise no questions (below U+0250, without dotted capital i), and ASCII marks but the apostrophe.
+_SIMPLE = r"^(?P<stem>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+)(?P<tail>[!-&(-/:-@\[-`{-~]{0,3})$"
+
+
+def _gather(arena: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces of the arena, one after another; where each ends, with a leading 0)."""
+    ends = np.r_[0, np.cumsum(size)]
+    return arena[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
-    """Whole-text encoding by words, with a bounded memo of word -> little-endian u32 ids.
+    """Encoding of whole batches of texts by their words, with a bounded memo of word -> ids in flat arrays.
 
-    Where the file's pipeline takes runs of letters of the lower-cased text as words in the byte
-    alphabet, texts are lower-cased, cut at white space, full stops and commas, and the words that the memo lacks go
-    to the library together, as ready pieces for its model. Texts that this could treat differently
-    (not in NFC, a capital sigma, special tokens, marks that touch a full stop or comma) are encoded
-    whole or word by word by the file's own pipeline.
+    The tokenizer never joins across white space, so a text's ids are those of its words, one after another. A
+    batch is cut at ASCII white space and its distinct words are looked up together; a word that the memo lacks goes
+    to the library. Where the file's pipeline lower-cases and takes runs of letters as words in the byte alphabet, a Latin
+    word is looked up as its lower-cased letters and its closing marks, and letters that are missing go as ready
+    pieces for its model, many at once; every other word goes through the file's own pipeline as it is.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.memo, self.own = limit, {}, {}
+        self.limit = limit
         said = json.loads(self.tokenizer.to_str())
         self.simple = self._lowercased_words(said)
         if self.simple:
@@ -67,7 +74,12 @@ class WordEncoder:
             self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(printable)]
-        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)} | {32: " "}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids = pa.array([""], pa.large_string()), np.zeros(0, "<u4")
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     @staticmethod
     def _lowercased_words(said: dict) -> bool:
@@ -80,40 +92,62 @@ class WordEncoder:
             and said["model"].get("end_of_word_suffix") == "</w>"
         )
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Enter lower-cased words into the memo; runs of letters together, others one by one."""
-        letters = [w for w in words if w.isalpha()]
-        mapped = " ".join(letters).encode().decode("latin1").translate(self.alphabet | {32: " "})
-        ids = np.asarray(self.pieces.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4") if letters else np.zeros(0, "<u4")
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) == len(letters):
-            data, at = ids.tobytes(), 0
-            for w, e in zip(letters, ends):
-                self.memo[w] = data[4 * at : 4 * e]
-                at = e
-        for w in words:
-            if w not in self.memo:
-                self.memo[w] = self._whole(w)
+    def _put(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learn_own(self, words: pa.Array) -> None:
+        """By the file's own pipeline, a word at a time."""
+        got = [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        self._put(words, np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _learn_letters(self, words: pa.Array) -> None:
+        """Lower-cased letters as pieces of the model, all at once."""
+        mapped = " ".join(words.to_pylist()).encode().decode("latin1").translate(self.alphabet)
+        ids = np.asarray(self.pieces.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            self._put(words, ids, np.diff(ends, prepend=0))
+        else:  # some piece has no closing token of its own
+            self._learn_own(words)
+
+    def _places(self, keys: pa.Array, learn) -> np.ndarray:
+        place = pc.index_in(keys, value_set=self.words)
+        if place.null_count:
+            learn(pc.unique(keys.filter(pc.is_null(place))))
+            place = pc.index_in(keys, value_set=self.words)
+        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        if self.words.nbytes + self.ids.nbytes + 16 * len(self.words) > self.limit:
+            self._forget()
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        if self.simple:
+            parts = pc.extract_regex(distinct, _SIMPLE)
+            odd = parts.is_null().to_numpy(zero_copy_only=False)
+            stems, tails = (pc.fill_null(pc.struct_field(parts, k), "") for k in ("stem", "tail"))
+        else:
+            odd = np.ones(len(distinct), bool)
+            stems = tails = pa.array([""] * len(distinct), pa.large_string())
+        first = self._places(pc.utf8_lower(stems), self._learn_letters)
+        first[odd] = self._places(distinct.filter(pa.array(odd)), self._learn_own)
+        second = self._places(tails, self._learn_own)
+        both = np.stack([first, second], axis=1).ravel()
+        arena, ends = _gather(self.ids, self.start[both], self.size[both])
+        ends = ends[::2]
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends = _gather(arena, ends[:-1][word], np.diff(ends)[word])
+        offsets = split.offsets.to_numpy()
+        return ids, np.diff(ends[offsets - offsets[0]])
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._whole(text)
-        if len(self.memo) + len(self.own) > self.limit:
-            self.memo.clear()
-            self.own.clear()
-        if not self.simple or "Σ" in text or "<|" in text or _TOUCHING.search(text) or not unicodedata.is_normalized("NFC", text):
-            # by words of white space: the pipeline never joins across it
-            get, own = self.own.get, self.own
-            return b"".join([get(w) or own.setdefault(w, self._whole(w)) for w in text.split()])
-        words = text.lower().replace(".", " . ").replace(",", " , ").split()
-        out = list(map(self.memo.get, words))
-        if None in out:
-            self._learn(list({w: 0 for w, o in zip(words, out) if o is None}))
-            out = list(map(self.memo.get, words))
-        return b"".join(out)
+        """One text's ids, little-endian."""
+        return self.encode_batch(pa.array([text]))[0].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -233,7 +267,8 @@ def write_tokens(
     block: int = 1 << 16,
     bits: bool = False,
     roll_ids: int = 8 << 20,
-    partition_bytes: int = 24 << 20,
+    partition_bytes: int = 256 << 20,
+    batch_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Encode and write every row in ascending id order; returns the manifest, a row a file, staged.
 
@@ -245,24 +280,29 @@ def write_tokens(
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = max(parallelism(spark), int(size // partition_bytes) + 1)
-    ordered = rows.repartitionByRange(parts, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
+    order = [F.col("_id").asc_nulls_first(), F.col("_h")]
+    ordered = rows.withColumn("_h", F.xxhash64("_text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "_text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(out_dir)
         fs.create_dir(root, recursive=True)
         enc, end = encoder(tokenizer), struct.pack("<I", end_id)
         out, name, seq = None, "", 0
 
-        def done(part: int) -> pd.DataFrame:
+        def done(part: int) -> pa.RecordBatch:
             size = out.close()
-            return pd.DataFrame({"file": [f"{out_dir}/{name}"], "part": [part], "seq": [seq], "docs": [len(out.docs)], "ids": [out.ids], "bytes": [size]})
+            return pa.RecordBatch.from_pydict({"file": [f"{out_dir}/{name}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": [len(out.docs)], "ids": [out.ids], "bytes": [size]})
 
-        for pdf in batches:
-            for part, doc_id, text in zip(pdf["_part"], pdf["_id"], pdf["_text"]):
+        for batch in _pieces(batches, batch_bytes):
+            part = batch["_part"][0].as_py()
+            ids, counts = enc.encode_batch(batch["_text"])
+            data, at = ids.astype("<u4", copy=False).tobytes(), 0
+            for doc_id, n in zip(batch["_id"].to_pylist(), counts.tolist()):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.bpt"
                     out = PlaneWriter(fs.open_output_stream(f"{root}/{name}", compression=None), block, bits)
-                out.add(doc_id, enc.encode(text) + end)
+                out.add(doc_id, data[at : at + 4 * n] + end)
+                at += 4 * n
                 if out.ids >= roll_ids:
                     yield done(part)
                     out, seq = None, seq + 1
@@ -270,10 +310,38 @@ def write_tokens(
             yield done(part)
 
     written = staged(
-        ordered.select(F.spark_partition_id().alias("_part"), F.col("_id").cast("string"), "_text").mapInPandas(write, MANIFEST), "token-files"
+        ordered.select(F.spark_partition_id().alias("_part"), F.col("_id").cast("string"), "_text").mapInArrow(write, MANIFEST), "token-files"
     )
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return staged(written.withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0).cast("long"))), "token-manifest")
+    # a running sum in two steps: inside blocks of 1024 partitions, and over the blocks
+    blocks = written.withColumn("_block", F.floor(F.col("part") / 1024))
+    before = F.coalesce(F.sum("ids").over(Window.partitionBy("_block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    first = F.coalesce(F.sum("_all").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    totals = blocks.groupBy("_block").agg(F.sum("ids").alias("_all")).select("_block", first.alias("_first"))
+    based = blocks.withColumn("_before", before).join(totals, "_block")
+    return staged(based.select(*written.columns, (F.col("_before") + F.col("_first")).alias("base")), "token-manifest")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes, whole rows each."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = batch.num_rows - at
+            while n > 1 and _bytes(batch, at, n) > most:
+                n = (n + 1) // 2
+            held.append(batch.slice(at, n))
+            size += _bytes(batch, at, n)
+            at += n
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size or held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _bytes(batch: pa.RecordBatch, at: int, n: int) -> int:
+    return pc.sum(pc.binary_length(batch["_text"].slice(at, n))).as_py() or 0
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

@@ -241,8 +241,8 @@ def test_word_encoder_is_exact():
 
     from spindrift.llm.tokens import WordEncoder
 
-    enc = WordEncoder(q.tokenizer_path(), limit=50)
-    alphabet = st.one_of(st.sampled_from(list("abcABC.,' \t\n\x1c\x85\xa0éÉßΣσςİıǅﬁ̀́'sﬀ0１५")), st.characters(codec="utf-8"))
+    enc = WordEncoder(q.tokenizer_path(), limit=2000)
+    alphabet = st.one_of(st.sampled_from(list("abcABC.,' \t\n\x1c\x85\xa0éÉßΣσςİıǅﬁ̀́'sﬀ0１५J̌")), st.characters(codec="utf-8"))
 
     @settings(max_examples=400, deadline=None)
     @given(st.lists(alphabet, max_size=40).map("".join))
@@ -251,8 +251,23 @@ def test_word_encoder_is_exact():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == want
 
     check()
-    for text in ("<|endoftext|> x<|startoftext|>y", "it's THEY'RE don't,", "a." * 50, "Σ ΣΑΣ Σ."):
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_on_every_letter_and_mark():
+    """Letters x combining marks (lower-casing may leave what composing would join), every character to U+3000, and odd texts, in one batch."""
+    import pyarrow as pa
+
+    from spindrift.llm.tokens import WordEncoder
+
+    enc = WordEncoder(q.tokenizer_path())
+    letters = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *"ΪΫÀéİıßΣσςǅ"]
+    texts = [f"{a}{c}{chr(m)}{z}" for c in letters for m in range(0x300, 0x370) for a, z in (("", ""), ("a", "x"), ("x ", "."))]
+    texts += [f"a{chr(c)}B. {chr(c)}!! x{chr(c)}" for c in range(1, 0x3000)]
+    texts += ["<|endoftext|> x<|startoftext|>y", "it's THEY'RE don't,", "a." * 50, "Σ ΣΑΣ Σ.", "", " ", "  a  b ", "x's. y'LL! 's 't", "ab" * 9000, "１２ ५ Ⅷ ½x x½", "a\u2028b\x85c"]
+    ids, counts = enc.encode_batch(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, n, end in zip(texts, counts, ends):
+        assert ids[end - n : end].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("bits", [False, True])
