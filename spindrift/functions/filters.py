@@ -58,11 +58,21 @@ def literals(query: str) -> list[str]:
     return [t.value for t in parse(query) if t.kind in ("word", "phrase") and not t.negated]
 
 
+# Values whose text in the line may differ from what a JSON reader makes of them: fractions, exponents, minus zero, objects, lists.
+REWRITTEN = re.compile(r"-0|-?[0-9]+(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?|[\[{].*", re.S)
+INTEGER = re.compile(r"-?[1-9][0-9]*|0")
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def _pair(msg: Column, key: str, value: str) -> Column:
-    """Top-level JSON value as text; the JSON null is the empty text, a missing key is no match, of equal keys the last counts."""
-    named = F.filter(F.map_entries(F.from_json(msg, "map<string,string>")), lambda e: e["key"] == key)
+    """Top-level JSON value as text; the JSON null is the empty text, a missing key is no match, of equal keys the last counts.
+
+    The line is read as the first of two members, so that bytes after its object, or a second object, spoil the other.
+    """
+    read = F.from_json(F.concat(F.lit('{"v":'), msg, F.lit(',"end":7}')), "v map<string,string>, end int", STRICT)
+    named = F.filter(F.map_entries(read["v"]), lambda e: e["key"] == key)
     said = F.when(F.size(named) > 0, F.coalesce(F.try_element_at(named, F.lit(-1))["value"], F.lit("")))
-    return F.coalesce(msg.startswith("{") & (F.lower(said) == value), F.lit(False))
+    return F.coalesce(msg.startswith("{") & (read["end"] == 7) & (F.lower(said) == value), F.lit(False))
 
 
 def _pair_exact(msg: Column, key: str, value: str) -> Column:
@@ -107,12 +117,17 @@ def _reject(name: str):
     raise ValueError(name)
 
 
+def _as_written(value: str) -> bool:
+    """Must the raw text decide? Only for values that a JSON reader would write anew."""
+    return bool(REWRITTEN.fullmatch(value)) and not INTEGER.fullmatch(value)
+
+
 def _predicates(msg: Column, query: str, exact: bool) -> Iterator[Column]:
     text, low = F.coalesce(msg, F.lit("")), F.lower(F.coalesce(msg, F.lit("")))
     terms = parse(query)
     for t in sorted(terms, key=lambda t: ("word", "phrase", "regex", "pair").index(t.kind)):  # cheap ones first
         if t.kind == "pair":
-            ok = text.startswith("{") & _pair_exact(text, t.key, t.value) if exact else _pair(text, t.key, t.value)
+            ok = text.startswith("{") & _pair_exact(text, t.key, t.value) if exact or _as_written(t.value) else _pair(text, t.key, t.value)
         elif t.kind == "regex":
             ok = text.rlike(t.value)
         else:
@@ -121,6 +136,7 @@ def _predicates(msg: Column, query: str, exact: bool) -> Iterator[Column]:
 
 
 def matches(msg: Column | str, query: str, exact: bool = False) -> Column:
-    """Does the line pass the query? ``exact`` compares a pair's raw JSON text, in an Arrow-batched function."""
+    """Does the line pass the query? Pairs compare the raw text of a JSON value; a query whose value is a fraction, an exponent, an object
+    or a list reads it in an Arrow-batched function, and ``exact`` does so for every pair."""
     col = F.col(msg) if isinstance(msg, str) else msg
     return reduce(lambda a, b: a & b, _predicates(col, query, exact), F.lit(True))

@@ -75,7 +75,7 @@ def rate_limited(df: DataFrame, per_second: int, file: str = "file", marker: str
     """
     second = F.floor(F.col("ts_ns") / 1_000_000_000)
     rank = F.row_number().over(Window.partitionBy(file, second).orderBy("ts_ns", "seq"))
-    flagged = df.withColumn("_ok", rank <= per_second)
+    flagged = df.repartition(file).withColumn("_ok", rank <= per_second)  # one exchange serves both windows
     run = Window.partitionBy(file).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = flagged.withColumn("_d", F.sum((~F.col("_ok")).cast("int")).over(run)).filter("_ok")
     lag = F.coalesce(F.lag("_d").over(Window.partitionBy(file).orderBy("ts_ns", "seq")), F.lit(0))

@@ -115,8 +115,20 @@ def page(lines: DataFrame, limit: int = DEFAULT_LIMIT) -> Page:
     return Page(rows, more, last.ts_ns - 1 if last else None, (last.ts_ns, last.seq) if last else None)
 
 
-def newest_by_day(lines: DataFrame, days: list[str], limit: int) -> DataFrame:
-    """``newest`` that reads whole days from the latest back until it has enough; days part the time line, so it is the same."""
+def newest_by_day(lines: DataFrame, days: list[str] | None, limit: int) -> DataFrame:
+    """``newest`` that reads whole days from the latest back until it has enough; days part the time line, so it is the same.
+
+    With ``days``, those of a table parted by day, one day after another is counted; without, one pass counts all.
+    """
+    if days is None:
+        counts = {r.day: r.n for r in lines.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a day
+        chosen, have = [], 0
+        for d in sorted(counts, reverse=True):
+            chosen.append(d)
+            have += counts[d]
+            if have >= limit:
+                break
+        return newest(lines.filter(F.col("day").isin(chosen)), limit)
     chosen: list[str] = []
     have = 0
     for d in sorted(days, reverse=True):

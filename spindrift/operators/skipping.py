@@ -19,11 +19,9 @@ BITS = 1 << 16
 WORD_BITS = 32_768  # what one bitmap row holds
 
 
-def _trigrams(text: Column) -> Column:
-    """Distinct trigrams of the runs of token characters."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"((?:[a-z0-9_]|[^\x00-\x7f]){3,})"), F.lit(1))
-    grams = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 2), lambda i: F.substring(r, i, 3))
-    return F.array_distinct(F.flatten(F.transform(runs, grams)))
+def _runs(text: Column) -> Column:
+    """Runs of token characters that have a trigram; text without other characters is cut in generated code."""
+    return F.split(F.lower(text), r"[\x00-\x7f&&[^a-z0-9_]]+", -1)
 
 
 def _position(gram: Column) -> Column:
@@ -31,8 +29,13 @@ def _position(gram: Column) -> Column:
 
 
 def trigram_table(lines: DataFrame, file: str = "file", text: str = "msg") -> DataFrame:
-    """(file, bucket, bits): a bitmap of at most BITS bits a file, built by partial aggregation."""
-    at = lines.select(file, F.explode(_trigrams(F.col(text))).alias("g")).select(file, _position(F.col("g")).alias("p"))
+    """(file, bucket, bits): a bitmap of at most BITS bits a file.
+
+    A row a trigram, in generated code; positions are made distinct by hash before the bitmaps, which take a sort.
+    """
+    runs = lines.select(file, F.explode(_runs(F.col(text))).alias("r")).filter(F.length("r") >= 3)
+    grams = runs.select(file, "r", F.explode(F.sequence(F.lit(1), F.length("r") - 2)).alias("i"))
+    at = grams.select(file, _position(F.substring("r", F.col("i"), F.lit(3))).alias("p")).distinct()
     return at.groupBy(file, F.floor(F.col("p") / WORD_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(WORD_BITS))).alias("bits"))
 
 

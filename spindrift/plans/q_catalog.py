@@ -68,7 +68,7 @@ def chunk_overlap(spark, d):
 
 
 def heartbeats(spark, d):
-    e = table(spark, d, "events").filter("event_id % 5 = 0")
+    e = table(spark, d, "events")
     n = F.col("event_id")
     stats = F.concat(F.lit("files="), n % 7, F.lit(";lag_bytes="), n, F.lit(";junk;rss=12"), n % 10, F.lit(";dropped="), F.when(n % 2 == 0, "x").otherwise("3"), F.lit(";files="), n % 11)
     return e.select(F.when(F.col("user_id") % 2 == 0, "prod").otherwise("edge-1").alias("cluster"), F.concat(F.lit("node-"), (F.col("user_id") % 4).cast("string")).alias("node"), n.alias("seen"), F.lit("1.1").alias("version"), stats.alias("stats"))
@@ -178,7 +178,7 @@ SQL = {
     "stats_chunks": _CHUNKS + "select count(*) as chunks, coalesce(sum(bytes) filter (local), 0)::bigint as local_bytes, count(*) filter (remote) as remote, count(*) filter (remote and not local) as remote_only from chunks",
     "chunk_summary": _CHUNKS + "select sid, day, min_ts, max_ts, lines, bytes, restarts from chunks",
     "chunk_overlap": _CHUNKS + f"select sid, day from chunks where cluster = 'prod' and min_ts <= {1704900000 * NS} and max_ts >= {1704700000 * NS}",
-    "agents_latest": """with h as (select case when user_id % 2 = 0 then 'prod' else 'edge-1' end as cluster, 'node-' || (user_id % 4) as node, event_id as seen from events where event_id % 5 = 0)
+    "agents_latest": """with h as (select case when user_id % 2 = 0 then 'prod' else 'edge-1' end as cluster, 'node-' || (user_id % 4) as node, event_id as seen from events)
         select cluster, node, max(seen) as seen, '1.1' as version, max(seen) % 11 as files, max(seen) as lag_bytes, 0::bigint as spool_bytes, case when max(seen) % 2 = 0 then 0 else 3 end::bigint as dropped,
         120 + max(seen) % 10 as rss from h group by 1, 2""",
     "ingest_counters": f"with {LINES} select count(*) as lines, sum(strlen(msg) + 13)::bigint as bytes from lines",

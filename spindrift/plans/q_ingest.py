@@ -26,7 +26,16 @@ def _raw(spark, d):
 
 
 def cri_parse(spark, d):
-    return _raw(spark, d).select("seq", runtime.cri_fields(F.col("value")).alias("l")).filter("l is not null").select("seq", "l.*")
+    return runtime.parsed_lines(_raw(spark, d)).drop("value")
+
+
+def cri_odd_tags(spark, d):
+    """Tags of any letter, an empty stream, an empty tag (malformed) and none at all."""
+    n = F.col("event_id")
+    tag = F.when(n % 6 == 0, "X").when(n % 6 == 1, "P").when(n % 6 == 2, "Px:y").when(n % 6 == 3, "").when(n % 6 == 4, "fP").otherwise("F")
+    stream = F.when(n % 4 == 0, "").when(n % 4 == 1, "stderr").otherwise("stdout")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z "), stream, F.when(n % 11 == 0, "").otherwise(F.concat(F.lit(" "), tag, F.lit(" m "), n.cast("string"))))
+    return runtime.parsed_lines(table(spark, d, "events").select(n.alias("seq"), line.alias("value"))).drop("value")
 
 
 def docker_json_parse(spark, d):
@@ -118,7 +127,7 @@ def rate_limit_markers(spark, d):
 
 # Literal pods: name, owner kind, owner name.
 PODS = [
-    ("api-7d4b9c6f5-abcde", "ReplicaSet", "api-7d4b9c6f5"), ("job-28912345-xyz", "Job", "job-28912345"), ("once-1", "Job", "once"), ("etcd-node1", "Node", "node1"),
+    ("api-7d4b9c6f5-abcde", "ReplicaSet", "api-7d4b9c6f5"), ("job-28912345-xyz", "Job", "job-28912345"), ("once-1", "Job", "once"), ("proxy-east7", "Node", "east7"),
     ("web-0", "StatefulSet", "web"), ("agent-x", "DaemonSet", "agent"), ("bare", None, None), ("odd", "ReplicaSet", "my-app"),
 ]
 
@@ -167,14 +176,14 @@ def stream_dedup(spark, d):
 def stream_partial(spark, d):
     """Pairs of events of a user as pieces of a line: every odd one is whole."""
     lines = log_lines(spark, d, streaming=True).select(F.col("sid").cast("string").alias("file"), F.col("seq").alias("off"), (F.col("seq") % 3 != 0).alias("partial"), "msg")
-    out = ingest.collect_stream(ingest.whole_lines(lines), scratch.fresh(spark, "whole"), scratch.fresh(spark, "whole-log"))
+    out = ingest.collect_stream(ingest.whole_lines(lines), scratch.fresh(spark, "whole"), scratch.fresh(spark, "whole-log"), with_open=True)
     return out.select("file", "off", "n", F.md5(F.col("msg").cast("binary")).alias("md5"))
 
 
 def stream_multiline(spark, d):
-    """Events that begin at a signup; the last of each user is still open and not among them."""
+    """Events that begin at a signup; those still open at the end are let go with it."""
     lines = log_lines(spark, d, streaming=True).select(F.col("sid").cast("string").alias("file"), F.col("seq").alias("off"), "msg")
-    out = ingest.collect_stream(ingest.multiline_events(lines, '"level":"signup"', max_lines=5, quiet_ms=None), scratch.fresh(spark, "multi"), scratch.fresh(spark, "multi-log"))
+    out = ingest.collect_stream(ingest.multiline_events(lines, '"level":"signup"', max_lines=5, quiet_ms=None), scratch.fresh(spark, "multi"), scratch.fresh(spark, "multi-log"), with_open=True)
     return out.select("file", "off", "n", F.md5(F.col("msg").cast("binary")).alias("md5"))
 
 
@@ -187,6 +196,36 @@ def stream_tail(spark, d):
     return spark.createDataFrame([(r.seq, r.ts_ns) for r in rows], "seq long, ts_ns long")
 
 
+def ingest_end_to_end(spark, d):
+    """Events as lines of log files (one a user, every third line in two pieces), ingested twice: files to store, nothing twice, nothing lost."""
+    from spindrift.operators.ingest_files import ingest_files
+
+    root, store = scratch.fresh(spark, "logs"), scratch.fresh(spark, "ingested")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z stdout "))
+    text = F.concat(F.when(F.col("event_type") == "signup", "* ").otherwise("  "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
+    piece = F.when(F.col("event_id") % 3 == 0, F.array(F.concat(stamp, F.lit("P "), text), F.concat(stamp, F.lit("F  end")))).otherwise(F.array(F.concat(stamp, F.lit("F "), text)))
+    e = table(spark, d, "events").select("user_id", "event_id", F.posexplode(piece).alias("k", "value"))
+    one = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    # a folder a user by the writer; the text source wants the log's own name, which the folder carries
+    named = one.select("value", F.concat(F.lit("n_p"), F.col("user_id").cast("string"), F.lit("_u")).alias("pod"))
+    _write_named(spark, named, root)
+    for batch in (0, 1):
+        ingest_files(spark, root, store, batch, r"^\* ", cluster="c", max_lines=50)
+    back = spark.read.parquet(store)
+    return back.select(F.substring("pod", 2, 20).cast("long").alias("user_id"), "n", F.md5(F.col("msg").cast("binary")).alias("md5"), "ts_ns")
+
+
+def _write_named(spark, df, root):
+    """Text files ``<pod>/app/0.log`` of (pod, value): written as partitions, then moved to their names."""
+    df.repartition("pod").write.partitionBy("pod").text(f"{root}-parts")
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in fs.globStatus(path(f"{root}-parts/pod=*/part-*")):
+        pod = x.getPath().getParent().getName().removeprefix("pod=")
+        fs.mkdirs(path(f"{root}/{pod}/app"))
+        fs.rename(x.getPath(), path(f"{root}/{pod}/app/0.log"))
+
+
 def stream_store(spark, d):
     """Lines through the streaming store and back: a count and bounds for each day."""
     from spindrift.functions.lines import day
@@ -201,8 +240,8 @@ def stream_store(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        cri_parse, docker_json_parse, path_parse, collection_filter, section_carry_forward, partial_merge, partial_merge_limit, multiline_join, multiline_maxlines, dedup_cursor, running_cursor,
-        dedup_distinct, restart_boundary, rate_limit_markers, owner_label, enrich_labels, time_expressions, stream_key_split, cluster_names, stream_dedup, stream_partial, stream_multiline,
+        cri_parse, cri_odd_tags, docker_json_parse, path_parse, collection_filter, section_carry_forward, partial_merge, partial_merge_limit, multiline_join, multiline_maxlines, dedup_cursor, running_cursor,
+        dedup_distinct, restart_boundary, rate_limit_markers, owner_label, enrich_labels, time_expressions, stream_key_split, cluster_names, ingest_end_to_end, stream_dedup, stream_partial, stream_multiline,
         stream_tail, stream_store,
     )
 }
@@ -215,6 +254,7 @@ _CURSOR = "c as (select user_id as sid, 'f' as file, event_id as seq, floor(valu
 SQL = {
     "cri_parse": f"""select event_id as seq, {_STAMP} + event_id * 7919 % 1000000000 - case when event_id % 4 = 0 then 7200000000000 else 0 end as ts_ns, event_id % 2 = 1 as stderr, event_id % 3 <> 1 as partial,
         case when event_id % 10 = 0 then '' else event_type || '  two words ' || event_id end as msg from events where event_id % 50 <> 0""",
+    "cri_odd_tags": f"""select event_id as seq, {_STAMP} as ts_ns, event_id % 4 = 1 as stderr, event_id % 6 in (1, 2) as partial, 'm ' || event_id as msg from events where event_id % 6 <> 3 and event_id % 11 <> 0""",
     "docker_json_parse": f"""select event_id as seq, {_STAMP} + 500000000 as ts_ns, event_id % 2 = 1 as stderr, event_id % 3 = 0 as partial, event_type || ' "q" ' || event_id as msg from events""",
     "path_parse": """select event_id as seq, 'ns' || (event_id % 3) as ns, 'api-' || (event_id % 5) as pod, 'uid' || (event_id % 7) as uid, 'app' as ctr, (event_id % 4)::int as restart,
         case when event_id % 4 = 0 then '' else '20260930-101500' end as rotated, event_id % 4 = 2 as gzip from events where event_id % 4 <> 3 and event_id % 9 <> 0""",
@@ -239,7 +279,7 @@ SQL = {
         d as (select *, sum((not ok)::int) over (partition by file order by s, seq) as d from r),
         x as (select file, seq, (d - coalesce(lag(d) over (partition by file order by s, seq), 0))::bigint as dropped_before from d where ok)
         select file, seq, dropped_before, case when dropped_before > 0 then 'dropped ' || dropped_before || ' lines (rate limit)' end as marker from x""",
-    "owner_label": """select * from (values ('api-7d4b9c6f5-abcde', 'Deployment/api', 'api-7d4b9c6f5-abcde'), ('job-28912345-xyz', 'CronJob/job', 'job-28912345-xyz'), ('once-1', 'Job/once', 'once'), ('etcd-node1', 'Pod/etcd', 'etcd-node1'),
+    "owner_label": """select * from (values ('api-7d4b9c6f5-abcde', 'Deployment/api', 'api-7d4b9c6f5-abcde'), ('job-28912345-xyz', 'CronJob/job', 'job-28912345-xyz'), ('once-1', 'Job/once', 'once'), ('proxy-east7', 'Pod/proxy', 'proxy-east7'),
         ('web-0', 'StatefulSet/web', 'web'), ('agent-x', 'DaemonSet/agent', 'agent-x'), ('bare', 'Pod/bare', 'bare'), ('odd', 'Deployment/my-app', 'odd')) as v(pod, owner, guess)""",
     "enrich_labels": f"""with {LINES} select seq, uid, case when right(uid, 1)::int < 8 then '_owner=Pod/x,app=a' || right(uid, 1) || ',team=' || case when right(uid, 1)::int % 2 = 1 then 'noted' else 'x' end end as labels from lines""",
     "time_expressions": f"""select * from (values ('-15m', {NOW} - 900000000000), ('-1h30m', {NOW} - 5400000000000), ('-7d', {NOW} - 604800000000000), ('-1.5d', {NOW} - 129600000000000), ('-2w', {NOW} - 1209600000000000), ('now', {NOW}),
@@ -248,10 +288,14 @@ SQL = {
     "stream_key_split": f"with {LINES} select seq, ns, pod, uid, ctr || case when seq % 10 = 1 then '/more' else '' end as ctr from lines where seq % 10 <> 0",
     "cluster_names": "select event_id, event_id % 3 = 2 as ok from events",
     "stream_partial": f"""with {LINES}, g as (select *, coalesce(sum((seq % 3 = 0)::int) over (partition by sid order by seq rows between unbounded preceding and 1 preceding), 0) as g from lines)
-        select sid::varchar as file, min(seq) as off, count(*) as n, md5(string_agg(msg, '' order by seq)) as md5 from g group by sid, g having bool_or(seq % 3 = 0)""",
+        select sid::varchar as file, min(seq) as off, count(*) as n, md5(string_agg(msg, '' order by seq)) as md5 from g group by sid, g""",
     "stream_multiline": f"""with {LINES}, g as (select *, sum(contains(msg, '"level":"signup"')::int) over (partition by sid order by seq) as g from lines),
         s as (select *, (row_number() over (partition by sid, g order by seq) - 1) // 5 as s from g), e as (select sid, g, s, min(seq) as off, count(*) as n, md5(string_agg(msg, chr(10) order by seq)) as md5 from s group by 1, 2, 3)
-        select sid::varchar as file, off, n, md5 from (select *, max(off) over (partition by sid) as last from e) where off < last""",
+        select sid::varchar as file, off, n, md5 from e""",
+    "ingest_end_to_end": """with l as (select user_id, event_id, epoch_us(date_trunc('second', ts)) * 1000 as ts_ns, event_type = 'signup' as start,
+          case when event_type = 'signup' then '* ' else '  ' end || event_type || ' ' || event_id || case when event_id % 3 = 0 then ' end' else '' end as msg from events),
+        g as (select *, sum(start::int) over (partition by user_id order by event_id) as g from l), s as (select *, (row_number() over (partition by user_id, g order by event_id) - 1) // 50 as s from g)
+        select user_id, count(*) as n, md5(string_agg(msg, chr(10) order by event_id)) as md5, arg_min(ts_ns, event_id) as ts_ns from s group by user_id, g, s""",
     "stream_tail": f"with {LINES} select seq, ts_ns from lines where cluster = 'prod' and contains(lower(msg), 'purchase') order by ts_ns desc, seq desc limit 300",
     "stream_store": f"with {LINES} select strftime(make_timestamp(ts_ns // 1000), '%Y%m%d') as day, cluster, ns, count(*) as n, min(ts_ns) as min_ts, max(seq) as max_seq from lines group by all",
 }

@@ -108,8 +108,7 @@ def query_truncated_probe(spark, d):
 
 def query_by_day(spark, d):
     lines = log_lines(spark, d).withColumn("day", day(F.col("ts_ns")))
-    days = [r.day for r in lines.select("day").distinct().collect()]  # a row a day
-    return S.newest_by_day(lines.filter(matches("msg", "signup")), days, 40).select("seq", "ts_ns")
+    return S.newest_by_day(lines.filter(matches("msg", "signup")), None, 40).select("seq", "ts_ns")
 
 
 def export_asc(spark, d):
@@ -133,6 +132,24 @@ def export_named(spark, d):
     return S.named(lines.select("seq", "sid"), streams).select("seq", "stream")
 
 
+def _odd_json(spark, d):
+    """Numbers as they may be written, and lines that are more, or less, than an object."""
+    n = F.col("event_id")
+    number = F.when(n % 5 == 0, "1.10").when(n % 5 == 1, "1.1").when(n % 5 == 2, "1e3").when(n % 5 == 3, "1000").otherwise("-0")
+    text = F.concat(F.lit('{"a":'), number, F.lit(',"b":"'), F.col("event_type"), F.lit('"}'))
+    text = F.when(n % 7 == 0, F.concat(text, F.lit(" tail"))).when(n % 7 == 1, F.concat(text, F.lit("}"))).when(n % 7 == 2, F.concat(text, F.lit(" "))).otherwise(text)
+    return table(spark, d, "events").select(n.alias("seq"), text.alias("msg"))
+
+
+def filter_kv_raw_number(spark, d):
+    """Which of four queries each line passes."""
+    return _odd_json(spark, d).select("seq", *[matches("msg", f"a={v}").alias(f"q{i}") for i, v in enumerate(("1.10", "1e3", "1000", "-0"))])
+
+
+def filter_kv_tail(spark, d):
+    return _odd_json(spark, d).filter(matches("msg", "b=click")).select("seq", "msg")
+
+
 def line_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(truncated(F.col("text"), 500), 256).alias("sha"), F.octet_length(truncated(F.col("text"), 500)).alias("bytes"))
 
@@ -183,6 +200,8 @@ QUERIES = {
     "export_ndjson": export_ndjson,
     "export_named": export_named,
     "api_lines": api_lines,
+    "filter_kv_raw_number": filter_kv_raw_number,
+    "filter_kv_tail": filter_kv_tail,
     "line_truncate": line_truncate,
     "union_federated": union_federated,
     "federated_topk": federated_topk,
@@ -190,6 +209,9 @@ QUERIES = {
     "sid_routing": sid_routing,
 }
 
+_ODD = """odd as (select event_id as seq, case event_id % 5 when 0 then '1.10' when 1 then '1.1' when 2 then '1e3' when 3 then '1000' else '-0' end as raw, event_type as kind, event_id % 7 > 1 as fine,
+    '{"a":' || case event_id % 5 when 0 then '1.10' when 1 then '1.1' when 2 then '1e3' when 3 then '1000' else '-0' end || ',"b":"' || event_type || '"}'
+    || case event_id % 7 when 0 then ' tail' when 1 then '}' when 2 then ' ' else '' end as msg from events)"""
 _TOPK = f"with {LINES} select seq, ts_ns, msg from lines where cluster = 'prod' and {_IN} and contains(lower(msg), 'click') order by ts_ns desc, seq desc limit 50"
 _SHOP = f"from lines where ns = 'shop' and {_IN} and contains(lower(msg), 'view')"
 
@@ -197,6 +219,8 @@ SQL = {
     **{k: f"with {LINES} select seq, msg from lines where {p}" for k, (_, p) in FILTERS.items()},
     "filter_kv_exact": f"with {LINES} select seq, msg from lines where json_extract_string(msg, '$.user') = '42' and json_extract_string(msg, '$.level') = 'click'",
     **{k: f"with {LINES} select seq, cluster, ns, pod, uid from lines where {p}" for k, (_, p) in SELECTORS.items()},
+    "filter_kv_raw_number": f"with {_ODD} select seq, fine and raw = '1.10' as q0, fine and raw = '1e3' as q1, fine and raw = '1000' as q2, fine and raw = '-0' as q3 from odd",
+    "filter_kv_tail": f"with {_ODD} select seq, msg from odd where fine and kind = 'click'",
     "filter_unicode": "select doc_id from documents where contains(lower(text), lower('ÉE')) and not contains(lower(text), 'zzz')",
     "filter_documents": r"""select doc_id, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
         where contains(lower(line), 'the') and not contains(lower(line), 'of') and regexp_matches(line, '(?i)\bth[a-z]+\b') group by doc_id""",

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # How log files are named and how their lines are laid out.
 PATH = r"/([^/_]+)_([^/_]+)_([^/_]+)/([^/]+)/([0-9]+)\.log(\.[0-9]{8}-[0-9]{6})?(\.gz)?$"
-LINE = r"^(\S+) (\S+) ([FP])(\S*)(?: ([\s\S]*))?$"
 TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]{1,9})[0-9]*)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
@@ -28,22 +27,29 @@ def path_fields(path: Column) -> Column:
 
 def time_ns(text: Column) -> Column:
     """Epoch nanoseconds of an RFC 3339 time; null if it is none."""
-    part = lambda i: F.regexp_extract(text, TIME, i)
-    whole = F.try_to_timestamp(F.concat(part(1), part(3)), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    return F.when(text.rlike(TIME), F.unix_seconds(whole) * 1_000_000_000 + F.rpad(part(2), 9, "0").cast("long"))
+    zone = F.when(text.endswith("Z"), F.lit("Z")).otherwise(F.right(text, F.lit(6)))
+    whole = F.concat(F.left(text, F.lit(19)), zone).try_cast("timestamp")
+    fraction = F.substring(text, F.lit(21), F.greatest(F.length(text) - 20 - F.length(zone), F.lit(0)))
+    return F.when(text.rlike(TIME), F.unix_seconds(whole) * 1_000_000_000 + F.rpad(F.left(fraction, F.lit(9)), 9, "0").cast("long"))
+
+
+def _cri(p: Column) -> Column:
+    """The same of a line's pieces: time, stream, tag and what follows."""
+    at = lambda i: F.get(p, F.lit(i))
+    ts = time_ns(at(0))
+    return F.when(
+        (F.size(p) >= 3) & (at(2) != "") & ts.isNotNull(),
+        F.struct(ts.alias("ts_ns"), (at(1) == "stderr").alias("stderr"), at(2).startswith("P").alias("partial"), F.coalesce(at(3), F.lit("")).alias("msg")),
+    )
 
 
 def cri_fields(value: Column) -> Column:
-    """struct(ts_ns, stderr, partial, msg) of ``<time> <stream> <F|P[:tags]> <message>``; null if malformed.
+    """struct(ts_ns, stderr, partial, msg) of ``<time> <stream> <tag> <message>``; null if malformed.
 
-    Only the first three spaces part the line; a tag without a message is an empty message.
+    Only the first three spaces part the line; any tag but an empty one will do, and one that begins with P is partial; a
+    tag without a message is an empty message; the stream may be empty.
     """
-    part = lambda i: F.regexp_extract(value, LINE, i)
-    ts = time_ns(part(1))
-    return F.when(
-        value.rlike(LINE) & ts.isNotNull(),
-        F.struct(ts.alias("ts_ns"), (part(2) == "stderr").alias("stderr"), (part(3) == "P").alias("partial"), part(5).alias("msg")),
-    )
+    return _cri(F.split(value, " ", 4))
 
 
 def json_fields(value: Column) -> Column:
@@ -63,6 +69,17 @@ def line_fields(value: Column) -> Column:
     return F.when(value.startswith("{"), json_fields(value)).otherwise(cri_fields(value))
 
 
+def parsed_lines(df: DataFrame, value: str = "value") -> DataFrame:
+    """``df`` with ts_ns, stderr, partial and msg of its lines in either format; malformed lines drop out.
+
+    A line is cut once and its fields are made once: a generator stands between them and whatever reads them, which
+    the optimizer doesn't merge.
+    """
+    cut = df.withColumn("_p", F.split(value, " ", 4))
+    fields = F.when(F.col(value).startswith("{"), json_fields(F.col(value))).otherwise(_cri(F.col("_p")))
+    return cut.select(*df.columns, F.explode(F.when(fields.isNotNull(), F.array(fields))).alias("_l")).select(*df.columns, "_l.*")
+
+
 def collected(df: DataFrame, include_ns: list[str] = (), exclude_ns: list[str] = (), exclude_ctr: list[str] = (), own_ctr: str | None = None) -> DataFrame:
     """Collection rules on ns and ctr, exact strings; ``own_ctr`` is the collector itself."""
     rule = F.lit(True)
@@ -75,16 +92,33 @@ def collected(df: DataFrame, include_ns: list[str] = (), exclude_ns: list[str] =
     return df.filter(rule)
 
 
+def _log_files(spark: SparkSession, root: str, streaming: bool) -> DataFrame:
+    reader = (spark.readStream if streaming else spark.read).schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*")
+    return reader.format("text").load(root)
+
+
 def read_logs(spark: SparkSession, root: str, streaming: bool = False) -> DataFrame:
     """Parsed lines of every ``ns_pod_uid/ctr/N.log*`` under ``root``; .gz files are read as they are.
 
-    A batch read backfills rotated files; the stream picks up new files as they land. ``file`` keys a
+    A batch read backfills rotated files; the stream picks up new files as they land. ``path`` keys a
     container's stream of files in order of restart, rotation stamp and name.
     """
-    reader = (spark.readStream if streaming else spark.read).schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*")
-    raw = reader.format("text").load(root).withColumn("path", F.col("_metadata.file_path"))
-    at = raw.withColumn("p", path_fields(F.col("path"))).withColumn("l", line_fields(F.col("value"))).filter("p is not null and l is not null")
-    return at.select("p.ns", "p.pod", "p.uid", "p.ctr", "p.restart", "p.rotated", "p.gzip", "path", "l.ts_ns", "l.stderr", "l.partial", "l.msg")
+    raw = _log_files(spark, root, streaming).withColumn("path", F.col("_metadata.file_path"))
+    at = parsed_lines(raw.withColumn("p", path_fields(F.col("path"))).filter("p is not null"))
+    return at.select("p.ns", "p.pod", "p.uid", "p.ctr", "p.restart", "p.rotated", "p.gzip", "path", "ts_ns", "stderr", "partial", "msg")
+
+
+def read_logs_at(spark: SparkSession, root: str) -> DataFrame:
+    """``read_logs`` in batch, with off_start and off_end: where a line stands in its file's text, unpacked, line breaks of one byte.
+
+    Lines keep the order of their splits and of their places in these; the running sum is a window over one file.
+    """
+    raw = _log_files(spark, root, False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_n"))
+    order = Window.partitionBy("path").orderBy("_split", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.octet_length("value").cast("long") + 1
+    placed = raw.withColumn("off_end", F.sum(size).over(order)).withColumn("off_start", F.col("off_end") - size)
+    at = parsed_lines(placed.withColumn("p", path_fields(F.col("path"))).filter("p is not null"))
+    return at.select("p.ns", "p.pod", "p.uid", "p.ctr", "p.restart", "p.rotated", "p.gzip", "path", "off_start", "off_end", "ts_ns", "stderr", "partial", "msg")
 
 
 def file_order(rotated: Column) -> Column:

@@ -8,6 +8,7 @@ as the query lives, so runs over what is there (``collect_stream``) must be with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,10 +118,39 @@ def limited(events: DataFrame, per_second: float, by: str = "cluster", burst: fl
 
 
 def store_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Write a micro-batch as day/cluster/ns partitions sorted for range reads; a batch that runs again replaces itself."""
+    """Write a micro-batch as day/cluster/ns partitions sorted for range reads; a batch that runs again replaces itself.
+
+    The day comes first, so that listings and pruning see days, and the batch last; ``compact_day`` merges a day's batches.
+    """
     out = batch.withColumn("batch", F.lit(batch_id))
     spread = out.repartition("day", "cluster", "ns", F.pmod(F.xxhash64("pod", "uid", "ctr"), F.lit(16))).sortWithinPartitions("day", "cluster", "ns", "pod", "uid", "ctr", "ts_ns")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("batch", "day", "cluster", "ns").parquet(root)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day", "cluster", "ns", "batch").parquet(root)
+
+
+def compact_day(spark: SparkSession, root: str, day: str, max_file_rows: int = 5_000_000) -> int:
+    """Merge what the batches of a day have written into few sorted files under batch -1; returns how many folders it replaced.
+
+    To be run when nothing writes the day any more. The merged files are written beside the table first and moved in before the
+    old ones go, so a crash leaves rows twice at worst, never lost; a run after it, with ``batch`` and the rows equal, removes them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/day={day}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/day={day}/*/*/batch=*")) or []]
+    if len(old) < 2:
+        return 0
+    rows = spark.read.option("basePath", root).parquet(*[p.toString() for p in old]).drop("batch", "day").distinct()
+    fresh = f"{root}/_compact-{day}-{uuid.uuid4().hex}"
+    spread = rows.repartition("cluster", "ns").sortWithinPartitions("cluster", "ns", "pod", "uid", "ctr", "ts_ns")
+    spread.write.option("compression", "zstd").option("maxRecordsPerFile", max_file_rows).partitionBy("cluster", "ns").parquet(fresh)
+    made = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{fresh}/*/*"))
+    for x in made:
+        parts = x.getPath().toString().split("/")[-2:]
+        to = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/day={day}/{'/'.join(parts)}/batch=-{uuid.uuid4().int % 10**9 + 1}")
+        fs.rename(x.getPath(), to)
+    for p in old:
+        fs.delete(p, True)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(fresh), True)
+    return len(old)
 
 
 def run_to_store(stream: DataFrame, root: str, checkpoint: str, once: bool = True):
@@ -129,12 +159,19 @@ def run_to_store(stream: DataFrame, root: str, checkpoint: str, once: bool = Tru
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def collect_stream(stream: DataFrame, root: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and return all it put out, as a batch table."""
+def open_groups(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(file, off, n, msg) that the state of ``whole_lines`` or ``multiline_events`` still holds, read from its checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.file").alias("file"), "value.groupState.off", "value.groupState.n", "value.groupState.msg").filter("n > 0")
+
+
+def collect_stream(stream: DataFrame, root: str, checkpoint: str, with_open: bool = False) -> DataFrame:
+    """Run a stream over what is there and return all it put out, as a batch table; ``with_open`` adds the groups still open at the end."""
     spark: SparkSession = stream.sparkSession
 
     def sink(df: DataFrame, i: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/batch={i}")
 
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(root)
+    out = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(root)
+    return out.unionByName(open_groups(spark, checkpoint)) if with_open else out

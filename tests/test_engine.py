@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import math
+import os
 
 import duckdb
 import pytest
@@ -56,28 +57,51 @@ def test_entry(spark):
 
 
 def test_cri_lines(spark):
-    rows = ["2016-10-06T00:17:09.669794202Z stderr P:tag partial", "2016-10-06T00:17:09.5Z stdout F", "garbage", "2016-10-06T00:17:09Z stdout F  two  spaces ", "", "2016-10-06T02:17:09+02:00 stdout X y"]
-    df = spark.createDataFrame([(r,) for r in rows], "v string").select(runtime.line_fields(F.col("v")).alias("l")).collect()
-    at = 1475713029 * 10**9
-    got = [tuple(r.l) if r.l else None for r in df]
-    assert got == [(at + 669794202, True, True, "partial"), (at + 5 * 10**8, False, False, ""), None, (at, False, False, " two  spaces "), None, None]
-    j = spark.createDataFrame([('{"log":"hello \\"w\\"\\n","stream":"stderr","time":"2026-09-30T10:00:00.123456789Z"}',), ("{broken",)], "v string")
+    cases = {
+        "2023-03-04T05:06:07.123456789Z stdout P:q first half": (123456789, False, True, "first half"),
+        "2023-03-04T05:06:07.25Z stderr F": (25 * 10**7, True, False, ""),
+        "2023-03-04T07:06:07+02:00 stdout F  spaced  out ": (0, False, False, " spaced  out "),
+        "2023-03-04T05:06:07Z stdout X any tag": (0, False, False, "any tag"),
+        "2023-03-04T05:06:07Z  Pq no stream": (0, False, True, "no stream"),
+        "2023-03-04T05:06:07.1234567891Z weird F m": (123456789, False, False, "m"),
+        "2023-03-04T05:06:07Z stdout  no tag": None,
+        "2023-03-04T05:06:07Z stdout": None,
+        "2023-13-04T05:06:07Z stdout F bad month": None,
+        "nonsense": None,
+        "": None,
+    }
+    at = 1677906367 * 10**9
+    df = spark.createDataFrame([(c,) for c in cases], "value string")
+    got = [tuple(r.l) if r.l else None for r in df.select(runtime.line_fields(F.col("value")).alias("l")).collect()]
+    assert got == [w and (at + w[0], *w[1:]) for w in cases.values()]
+    whole = {r.value: (r.ts_ns - at, r.stderr, r.partial, r.msg) for r in runtime.parsed_lines(df).collect()}
+    assert whole == {c: w for c, w in cases.items() if w}
+    plan = runtime.parsed_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    j = spark.createDataFrame([('{"log":"say \\"hi\\"\\n","stream":"stderr","time":"2023-03-04T05:06:07.000000042Z"}',), ("{half",)], "v string")
     first, second = (r[0] for r in j.select(runtime.line_fields(F.col("v"))).collect())
-    assert (first.msg, first.stderr, first.partial, first.ts_ns % 10**9) == ('hello "w"', True, False, 123456789) and second is None
+    assert (first.msg, first.stderr, first.partial, first.ts_ns) == ('say "hi"', True, False, at + 42) and second is None
+
+
+def _write_logs(root, lines: dict[str, list[str]]) -> None:
+    for name, texts in lines.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with gzip.open(path, "wt") if name.endswith(".gz") else path.open("w") as f:
+            f.writelines(t + "\n" for t in texts)
 
 
 def test_log_directory(spark, tmp_path):
-    pod = tmp_path / "pods" / "pay_api-1_uid" / "app"
-    pod.mkdir(parents=True)
-    line = "2026-09-30T10:00:0{}Z stdout F m{}\n"
-    (pod / "3.log").write_text(line.format(3, 3))
-    (pod / "3.log.20260930-101500").write_text(line.format(2, 2))
-    with gzip.open(pod / "3.log.20260929-101500.gz", "wt") as f:
-        f.write(line.format(1, 1))
-    (tmp_path / "pods" / "x").mkdir()
-    (tmp_path / "pods" / "x" / "y.log").write_text(line.format(9, 9))
-    got = runtime.read_logs(spark, str(tmp_path / "pods")).orderBy(runtime.file_order(F.col("rotated"))).collect()
-    assert [(r.ns, r.pod, r.uid, r.ctr, r.restart, r.gzip, r.msg) for r in got] == [("pay", "api-1", "uid", "app", 3, z, m) for z, m in ((True, "m1"), (False, "m2"), (False, "m3"))]
+    line = "2024-02-03T04:05:0{}Z stdout F said {}"
+    _write_logs(tmp_path / "logs", {
+        "shop_cart-9_id7/web/1.log": [line.format(6, "c"), line.format(7, "dd")], "shop_cart-9_id7/web/1.log.20240203-040506": [line.format(5, "b")],
+        "shop_cart-9_id7/web/1.log.20240202-040506.gz": [line.format(4, "a")], "other/z.log": [line.format(1, "none")],
+    })
+    got = runtime.read_logs(spark, str(tmp_path / "logs")).orderBy(runtime.file_order(F.col("rotated")), "ts_ns").collect()
+    assert [(r.ns, r.pod, r.uid, r.ctr, r.restart, r.gzip, r.msg) for r in got] == [("shop", "cart-9", "id7", "web", 1, z, f"said {m}") for z, m in ((True, "a"), (False, "b"), (False, "c"), (False, "dd"))]
+    placed = {r.msg: (r.off_start, r.off_end) for r in runtime.read_logs_at(spark, str(tmp_path / "logs")).collect()}
+    n = len(line.format(6, "c")) + 1
+    assert placed == {"said a": (0, n), "said b": (0, n), "said c": (0, n), "said dd": (n, 2 * n + 1)}
 
 
 def test_push_bodies(spark):
@@ -90,12 +114,12 @@ def test_push_bodies(spark):
 
 
 def test_partial_merge(spark):
-    x = "x" * 16384
-    df = spark.createDataFrame([(1, 0, True, x), (1, 1, True, x), (1, 2, False, "tail"), (1, 3, False, "one"), (1, 4, True, "left"), (2, 0, False, "")], "file int, off int, partial boolean, msg string")
+    piece = "ab" * 5000
+    df = spark.createDataFrame([(1, 0, True, piece), (1, 1, True, piece), (1, 2, True, "mid"), (1, 3, False, "end"), (1, 4, False, "alone"), (1, 5, True, "open"), (2, 0, False, "")], "file int, off int, partial boolean, msg string")
     df = df.withColumns({"ts_ns": F.col("off"), "stderr": F.lit(False)})
     key = lambda d: sorted((r.file, r.off, r.n, len(r.msg)) for r in d.collect())
-    assert key(folds.merge_partial(df)) == [(1, 0, 3, 32772), (1, 3, 1, 3), (1, 4, 1, 4), (2, 0, 1, 0)]
-    assert key(folds.merge_partial(df, max_bytes=10)) == [(1, 0, 2, 32768), (1, 2, 1, 4), (1, 3, 1, 3), (1, 4, 1, 4), (2, 0, 1, 0)]
+    assert key(folds.merge_partial(df)) == [(1, 0, 4, 20006), (1, 4, 1, 5), (1, 5, 1, 4), (2, 0, 1, 0)]
+    assert key(folds.merge_partial(df, max_bytes=100)) == [(1, 0, 2, 20000), (1, 2, 2, 6), (1, 4, 1, 5), (1, 5, 1, 4), (2, 0, 1, 0)]
 
 
 def test_multiline(spark):
@@ -107,9 +131,9 @@ def test_multiline(spark):
 
 def test_owner_and_labels(spark):
     df = spark.createDataFrame([({"app": "a", "x": "1"}, {"app": "noted"})], "l map<string,string>, a map<string,string>")
-    pod = owner(F.lit("etcd-n1"), F.lit("Node"), F.lit("n1"))
-    assert df.select(selected_labels(F.col("l"), F.col("a"), ["app", "x", "none"], ["app"], pod)).first()[0] == {"_owner": "Pod/etcd", "app": "noted", "x": "1"}
-    assert df.select(selected_labels(F.lit(None).cast("map<string,string>"), F.col("a"), ["app"], [], pod)).first()[0] == {"_owner": "Pod/etcd"}
+    pod = owner(F.lit("proxy-e7"), F.lit("Node"), F.lit("e7"))
+    assert df.select(selected_labels(F.col("l"), F.col("a"), ["app", "x", "none"], ["app"], pod)).first()[0] == {"_owner": "Pod/proxy", "app": "noted", "x": "1"}
+    assert df.select(selected_labels(F.lit(None).cast("map<string,string>"), F.col("a"), ["app"], [], pod)).first()[0] == {"_owner": "Pod/proxy"}
 
 
 def test_cursor_dedup(spark):
@@ -158,8 +182,13 @@ def test_store_prunes_days_and_reruns_in_place(spark, tmp_path):
     assert found.count() == 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [(cast(day" in plan
-    assert retention.drop_partitions(spark, root, [{"batch": "0", "day": "19700101"}, {"batch": "9", "day": "19700101"}]) == 1
-    assert spark.read.parquet(root).count() == 376
+    assert retention.drop_partitions(spark, root, [{"day": "19700101"}, {"day": "20990101"}]) == 1
+    assert spark.read.parquet(root).count() == 352
+    files = lambda: sum(len(n) for _, _, n in os.walk(root))
+    before, said = files(), sorted((r.seq, r.ts_ns) for r in spark.read.parquet(root).collect())
+    for d in ("19700102", "19700103"):
+        ingest.compact_day(spark, root, d)
+    assert sorted((r.seq, r.ts_ns) for r in spark.read.parquet(root).collect()) == said and files() < before
 
 
 def test_skipping_is_sound(spark, tmp_path):
@@ -206,6 +235,35 @@ def test_stream_restarts_exactly_once(spark, tmp_path):
     assert run() == [0, 1, 2, 4, 5]
 
 
+def test_ingest_of_files_end_to_end(spark, tmp_path):
+    """Partial pieces, multi-line events, a second run with what is new, and a rotated file; nothing twice, nothing lost."""
+    from spindrift.operators.ingest_files import ingest_files
+
+    at = "2024-02-03T04:05:{:02d}Z stdout {} {}"
+    app = "shop_cart-9_id7/web/0.log"
+    root, store = tmp_path / "logs", str(tmp_path / "store")
+    first = [at.format(1, "F", "* start"), at.format(2, "P", "  one "), at.format(3, "F", "line"), at.format(4, "F", "* next"), "broken"]
+    _write_logs(root, {app: first})
+    run = lambda n: ingest_files(spark, f"{root}", store, n, r"^\*", cluster="c")
+    said = lambda: sorted((r.off_start, r.n, r.msg) for r in spark.read.parquet(store).collect())
+    run(0)
+    assert [(n, m) for _, n, m in said()] == [(2, "* start\n  one line"), (1, "* next")]
+    once = said()
+    run(1)
+    assert said() == once
+    _write_logs(root, {app: first + [at.format(5, "F", "* third"), at.format(6, "F", " more")], "shop_cart-9_id7/web/0.log.20240101-000000": [at.format(0, "F", "* old")]})
+    run(2)
+    assert sorted(m for _, _, m in said()) == ["* next", "* old", "* start\n  one line", "* third\n more"]
+
+
+def test_open_groups_are_let_go_at_the_end(spark, tmp_path):
+    rows = [("f", 0, "* a"), ("f", 1, "b"), ("f", 2, "* c"), ("f", 3, "d"), ("g", 0, "x")]
+    spark.createDataFrame(rows, "file string, off long, msg string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    lines = spark.readStream.schema("file string, off long, msg string").parquet(str(tmp_path / "in"))
+    out = ingest.collect_stream(ingest.multiline_events(lines, r"^\*", quiet_ms=None), str(tmp_path / "o"), str(tmp_path / "l"), with_open=True)
+    assert sorted((r.file, r.off, r.n, r.msg) for r in out.collect()) == [("f", 0, 2, "* a\nb"), ("f", 2, 2, "* c\nd"), ("g", 0, 1, "x")]
+
+
 def test_token_bucket(spark, tmp_path):
     schema = "cluster string, ts_ns long, seq long, bytes long"
     rows = [("c", 0, 0, 150), ("c", 0, 1, 10), ("c", 10**9, 2, 10), ("c", 60 * 10**9, 3, 10), ("d", 0, 4, 1)]
