@@ -8,8 +8,8 @@ group shares as a masked pattern, without those its parent has already, so a sea
 and drops a whole group as soon as they pass the radius. Groups whose members cannot differ by more than the radius are
 linked whole. A coarse key routes: of four blocks of ``r`` bits, disjoint, one is equal within 3 differing bits, so each
 fingerprint goes into four tables by one block each; r grows with the corpus (0 to 16), so that a key keeps thousands
-of members and the trees below it do the search. A table's keys are range-partitioned by (key, Gray rank) and cut into
-segments of bounded size, the trees; a segment is searched with its own members, and, where a key has several, with those
+of members and the trees below it do the search. A key of too many members is cut at quantiles of the Gray rank into
+segments of bounded size; a segment is a tree and is searched with its own members, and, where a key has several, with those
 members of the key's other segments whose differences from the segment's root pattern stay within the radius. So a
 hot key is many tasks. A segment hands on a spanning forest, never its pairs.
 
@@ -36,7 +36,7 @@ from spindrift.llm.common import drop_staged, parallelism, staged, text_or_empty
 RADIUS = 3
 FAN = 4
 FRONTIER = 1 << 18
-SEGMENT = 1 << 15  # members of a tree at most
+SEGMENT = 1 << 17  # members of a tree at most
 KEEP = 1 << 12  # members that a routing key should keep
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -269,23 +269,33 @@ def _links_of(index: GrayIndex, fp: np.ndarray) -> pd.DataFrame:
 def segments(fps: DataFrame, bits: int, per_task: int, most: int) -> DataFrame:
     """Rows of two kinds, staged: a member of a segment (seg, key, fp), and a spanning link inside a segment (a, b).
 
-    Segments are runs of one key in Gray order, of at most ``most`` members, within a partition. Trees of small keys are
+    A segment is a key, or a run of it in Gray order where the key has more than ``most`` members. Trees of small keys are
     built and searched together.
     """
     keyed = routed(fps, bits).withColumn("rank", gray_rank_column(F.col("fp")))
+    sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "hot-keys")
+    largest = sizes.agg(F.max("n")).first()[0]
+    if largest:
+        pieces = -(-largest // most) + 1
+        cuts = F.percentile_approx("rank", [i / pieces for i in range(1, pieces)])
+        bounds = staged(keyed.join(sizes.select("key"), "key", "left_semi").groupBy("key").agg(cuts.alias("cuts")), "hot-cuts")
+        keyed = keyed.join(bounds, "key", "left").withColumn("sub", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("rank"))), F.lit(0)))
+    else:
+        keyed = keyed.withColumn("sub", F.lit(0))
     parts = max(parallelism(fps.sparkSession), fps.count() * (4 if bits else 1) // per_task + 1)
-    ordered = keyed.repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank").select(F.spark_partition_id().alias("part"), "key", "fp")
+    ordered = keyed.repartition(parts, "key", "sub").sortWithinPartitions("key", "sub", "rank").select(F.spark_partition_id().alias("part"), "key", "sub", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seg, held, size = 0, [], 0
 
-        def flush(key: np.ndarray, fp: np.ndarray, part: int) -> Iterator[pd.DataFrame]:
+        def flush(key: np.ndarray, sub: np.ndarray, fp: np.ndarray, part: int) -> Iterator[pd.DataFrame]:
             nonlocal seg
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
             place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
             own = np.cumsum((place % most == 0).astype(np.int64)) - 1
             n = int(own[-1]) + 1
-            yield pd.DataFrame({"seg": (np.int64(part) << 32) + seg + own, "key": key, "fp": fp.view(np.int64), "a": pd.array([None] * len(fp), "Int64"), "b": pd.array([None] * len(fp), "Int64")})
+            nothing = pd.array([None] * len(fp), "Int64")
+            yield pd.DataFrame({"seg": (np.int64(part) << 32) + seg + own, "key": key, "fp": fp.view(np.int64), "a": nothing, "b": nothing})
             seg += n
             links = _links_of(GrayIndex(own, fp), fp)
             if len(links):
@@ -295,14 +305,14 @@ def segments(fps: DataFrame, bits: int, per_task: int, most: int) -> DataFrame:
         part = 0
         for b in batches:
             part = int(b["part"].iloc[0])
-            held.append((b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)))
+            held.append((b["key"].to_numpy(np.int64), b["sub"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)))
             size += len(b)
-            if size >= 2 * most:  # whole keys so far, or whole segments of a large one
-                key, fp = (np.concatenate(x) for x in zip(*held))
-                start = int(np.searchsorted(key, key[-1]))
-                cut = start or size // most * most
-                yield from flush(key[:cut], fp[:cut], part)
-                held, size = [(key[cut:], fp[cut:])], size - cut
+            if size >= most:  # whole segments so far; the last one may go on
+                key, sub, fp = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.flatnonzero((key != key[-1]) | (sub != sub[-1]))[-1]) + 1 if (key[0], sub[0]) != (key[-1], sub[-1]) else 0
+                if cut:
+                    yield from flush(key[:cut], sub[:cut], fp[:cut], part)
+                held, size = [(key[cut:], sub[cut:], fp[cut:])], size - cut
         if size:
             yield from flush(*(np.concatenate(x) for x in zip(*held)), part)
 
@@ -316,7 +326,7 @@ def hamming_links(fps: DataFrame, per_task: int = 1 << 17, most: int = SEGMENT,
     members = rows.filter("seg is not null").select("seg", "key", "fp")
     inside = rows.filter("a is not null").select("a", "b")
 
-    # the roots of the keys that have several segments: one row each, at most two a partition and one for every ``most`` rows of a hot key
+    # the roots of the keys that have several segments: one row for about every ``most`` rows of a hot key
     nodes = members.groupBy("key", "seg").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"), F.count(F.lit(1)).alias("n"))
     several = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("segs")).filter("segs > 1").select("key")
     roots = staged(nodes.join(several, "key").select("key", F.col("seg").alias("other"), "ones", F.bitwise_not(F.col("ones").bitwiseXOR(F.col("some"))).alias("mask")), "segment-roots")
