@@ -344,7 +344,7 @@ def test_html_query(spark):
         assert (got[p.page_id].text, got[p.page_id].url, got[p.page_id].n_chars) == (want, p.url, len(want))
 
 
-# Pages written by hand, in layouts, names and words that the trainer's generator does not have: (markup, is it main text?).
+# Pages written by hand, in layouts and sentences that the trainer's generator does not have (some class names it has): (markup, is it main text?).
 OTHERS = [
     [
         ("<!doctype html><html><head><title>x</title></head><body class='home'><div class='masthead-bar'><a href=/>The Daily</a> <a href=/w>World</a> <a href=/s>Sport</a></div>", False),
