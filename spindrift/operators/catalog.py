@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.lines import as_timestamp, day, heartbeat_stats, stored_bytes
 
+MAX_SCAN_BYTES = 2 << 30
 KEY = ("cluster", "ns", "pod", "uid", "ctr")
 
 
@@ -79,6 +80,14 @@ def overlapping(chunks: DataFrame, start: int, end: int, sids: DataFrame | None
     return out.join(sids.select("sid"), "sid", "left_semi") if sids is not None else out
 
 
+def days_in_budget(chunks: DataFrame, start: int, end: int, max_bytes: int = MAX_SCAN_BYTES) -> DataFrame:
+    """(day, bytes, scanned) of the chunks that may have lines of the range; newest days first, a day is scanned while
+    those after it hold at most ``max_bytes``."""
+    held = overlapping(chunks, start, end).groupBy("day").agg(F.sum("bytes").alias("bytes"))
+    later = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    return held.withColumn("scanned", F.coalesce(F.sum("bytes").over(later), F.lit(0)) <= max_bytes)
+
+
 def orphans(streams: DataFrame, chunks: DataFrame, cutoff: int) -> DataFrame:
     """Streams without chunks that have been silent since the cutoff."""
     return streams.filter(F.col("last_ts") < cutoff).join(chunks.select("sid"), "sid", "left_anti")

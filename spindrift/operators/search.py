@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from spindrift.functions import globs
 from spindrift.functions.filters import matches
 from spindrift.functions.lines import as_timestamp, rfc3339
+from spindrift.operators.skipping import without_ruled_out
 
+STORE_UNIT = ("day", "cluster", "ns", "batch")  # the store's directories
 MAX_LIMIT, DEFAULT_LIMIT, EXPORT_LIMIT = 5000, 500, 1_000_000
 
 
@@ -83,9 +85,12 @@ def in_range(df: DataFrame, start: int, end: int) -> DataFrame:
     return out
 
 
-def search(lines: DataFrame, selector: Selector, start: int, end: int, query: str = "", exact: bool = False) -> DataFrame:
-    """Lines that pass, in no order."""
-    return in_range(lines.filter(selector.column(lines.columns)), start, end).filter(matches("msg", query, exact))
+def search(lines: DataFrame, selector: Selector, start: int, end: int, query: str = "", exact: bool = False, skip: DataFrame | None = None, unit: Sequence[str] = STORE_UNIT) -> DataFrame:
+    """Lines that pass, in no order. With ``skip``, a trigram table by ``unit``, units that it rules out are not read."""
+    read = in_range(lines.filter(selector.column(lines.columns)), start, end)
+    if skip is not None:
+        read = without_ruled_out(read, skip, query, unit)
+    return read.filter(matches("msg", query, exact))
 
 
 def newest(lines: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -115,6 +120,16 @@ def page(lines: DataFrame, limit: int = DEFAULT_LIMIT) -> Page:
     return Page(rows, more, last.ts_ns - 1 if last else None, (last.ts_ns, last.seq) if last else None)
 
 
+def page_within(lines: DataFrame, days: DataFrame, limit: int = DEFAULT_LIMIT) -> Page:
+    """A page from the days that a scan budget allows (``catalog.days_in_budget``, a row a day).
+
+    It is truncated, too, if it is not full and days were left out.
+    """
+    plan = days.collect()
+    got = page(lines.filter(F.col("day").isin([r.day for r in plan if r.scanned])), limit)
+    return replace(got, truncated=got.truncated or len(got.rows) < limit and not all(r.scanned for r in plan))
+
+
 def newest_by_day(lines: DataFrame, days: list[str] | None, limit: int) -> DataFrame:
     """``newest`` that reads whole days from the latest back until it has enough; days part the time line, so it is the same.
 

@@ -67,6 +67,10 @@ def chunk_overlap(spark, d):
     return C.overlapping(chunks(spark, d), 1704700000 * NS, 1704900000 * NS, some).select("sid", "day")
 
 
+def scan_budget(spark, d):
+    return C.days_in_budget(chunks(spark, d), 1704412800 * NS, 1705276800 * NS, 20_000)
+
+
 def heartbeats(spark, d):
     e = table(spark, d, "events")
     n = F.col("event_id")
@@ -150,6 +154,12 @@ def trigram_prune_absent(spark, d):
     return skipping.candidates(skipping.trigram_table(docs), "qqxzzy wvvkq").select("file")
 
 
+def skip_files(spark, d):
+    """Files (log lines by their kind) that cannot have the word: all but one."""
+    lines = log_lines(spark, d).withColumn("file", F.regexp_extract("msg", r"/v1/(\w+)", 1))
+    return skipping.ruled_out(skipping.trigram_table(lines), "purchase")
+
+
 _STREAMS = f"with {SECTIONS} "
 _END = "epoch_us(strptime(day, '%Y%m%d')) * 1000 + 86400000000000"
 _CHUNKS = f"with {CHUNKS} "
@@ -161,6 +171,7 @@ QUERIES = {
         stream_catalog_upsert, list_streams, sel_since, stream_tree_pods, stream_tree, stats_streams, stats_days, stats_chunks, chunk_summary, chunk_overlap, agents_latest,
         ingest_counters, ingest_rate_10s, tail_lag, orphan_streams, orphan_cursors, index_vs_disk, path_prefix, retention_age, retention_override, retention_override_longer,
         retention_disk_cap, offload_candidates, evict_candidates, trigram_prune_sound, trigram_prune_absent,
+        skip_files, scan_budget,
     )
 }
 
@@ -178,6 +189,9 @@ SQL = {
     "stats_chunks": _CHUNKS + "select count(*) as chunks, coalesce(sum(bytes) filter (local), 0)::bigint as local_bytes, count(*) filter (remote) as remote, count(*) filter (remote and not local) as remote_only from chunks",
     "chunk_summary": _CHUNKS + "select sid, day, min_ts, max_ts, lines, bytes, restarts from chunks",
     "chunk_overlap": _CHUNKS + f"select sid, day from chunks where cluster = 'prod' and min_ts <= {1704900000 * NS} and max_ts >= {1704700000 * NS}",
+    "scan_budget": _CHUNKS + f""", p as (select day, sum(bytes)::bigint as bytes from chunks where min_ts <= {1705276800 * NS} and max_ts >= {1704412800 * NS} group by day)
+        select day, bytes, coalesce(sum(bytes) over (order by day desc rows between unbounded preceding and 1 preceding), 0) <= 20000 as scanned from p""",
+    "skip_files": "select distinct event_type as file from events where event_type <> 'purchase'",
     "agents_latest": """with h as (select case when user_id % 2 = 0 then 'prod' else 'edge-1' end as cluster, 'node-' || (user_id % 4) as node, event_id as seen from events)
         select cluster, node, max(seen) as seen, '1.1' as version, max(seen) % 11 as files, max(seen) as lag_bytes, 0::bigint as spool_bytes, case when max(seen) % 2 = 0 then 0 else 3 end::bigint as dropped,
         120 + max(seen) % 10 as rss from h group by 1, 2""",

@@ -1,7 +1,10 @@
 """A streaming source that follows files as they grow, which the file source cannot.
 
 Offsets map each file (path and fingerprint of its first line) to the bytes read. A file that shrank or whose
-first line changed is a new file under its old name. A line without its line break stays until it has one.
+first line changed is a new file under its old name. A line without its line break stays until it has one. A file
+that was rotated away (its path and one more ending, uncompressed) is still the file that it was: its rest is read
+under the old path, and so is all of one that was rotated before the stream began. Compressed files are left to
+the directory scan. Paths are local to the machine that runs both the driver and the tasks.
 """
 
 from __future__ import annotations
@@ -13,19 +16,45 @@ from zlib import crc32
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
-def _key(path: str) -> str | None:
-    """Path and first line's fingerprint; None while the file has no whole line."""
+def _key(at: str, path: str) -> str | None:
+    """Path and first line's fingerprint of the file that lies at ``at``; None while it has no whole line."""
     try:
-        with open(path, "rb") as f:
+        with open(at, "rb") as f:
             first = f.readline(64 << 10)
     except OSError:
         return None
     return f"{path}\t{crc32(first):08x}" if first.endswith(b"\n") or len(first) == 64 << 10 else None
 
 
+def _rotated(pattern: str) -> list[str]:
+    return sorted(p for p in glob.glob(f"{pattern}.*", recursive=True) if not p.endswith(".gz"))
+
+
+def _located(key: str) -> str | None:
+    """Where the file of a key lies now; None if it is gone."""
+    path = key.split("\t")[0]
+    return next((at for at in [path, *_rotated(glob.escape(path))] if _key(at, path) == key), None)
+
+
+def _cuts(key: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of whole lines, each of about ``most`` bytes."""
+    at = _located(key)
+    if at is None:
+        return []
+    out = []
+    with open(at, "rb") as f:
+        while start < end:
+            f.seek(min(start + most, end) - 1)
+            f.readline()
+            stop = min(f.tell(), end)
+            out.append((start, stop))
+            start = stop
+    return out
+
+
 class _Piece(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, key: str, start: int, end: int):
+        self.key, self.start, self.end = key, start, end
 
 
 class _Reader(DataSourceStreamReader):
@@ -37,25 +66,30 @@ class _Reader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
+        own = sorted(glob.glob(self.pattern, recursive=True))
+        gone = [p for p in _rotated(self.pattern) if p not in set(own)]  # those that the pattern names are files of their own
         out = {}
-        for path in sorted(glob.glob(self.pattern, recursive=True)):
-            key = _key(path)
-            if key:
-                out[key] = _whole_lines(path)
+        for at, path in [*((p, p) for p in own), *((p, p.rpartition(".")[0]) for p in gone)]:
+            key = _key(at, path)
+            if key and key not in out:
+                out[key] = _whole_lines(at)
         return out
 
     def partitions(self, start: dict, end: dict) -> list[_Piece]:
-        return [_Piece(k.split("\t")[0], start.get(k, 0), n) for k, n in end.items() if n > start.get(k, 0)]
+        return [_Piece(k, a, b) for k, n in end.items() for a, b in _cuts(k, start.get(k, 0), n, self.most)]
 
     def read(self, partition: _Piece):
-        with open(partition.path, "rb") as f:
+        at, path = _located(partition.key), partition.key.split("\t")[0]
+        if at is None:
+            return
+        with open(at, "rb") as f:
             f.seek(partition.start)
             at = partition.start
             while at < partition.end:
                 line = f.readline(partition.end - at)
                 if not line:
                     break
-                yield partition.path, at, at + len(line), line.rstrip(b"\n").decode("utf-8", "replace")
+                yield path, at, at + len(line), line.rstrip(b"\n").decode("utf-8", "replace")
                 at += len(line)
 
     def commit(self, end: dict) -> None:
@@ -77,7 +111,10 @@ def _whole_lines(path: str, step: int = 1 << 16) -> int:
 
 
 class FollowSource(DataSource):
-    """``spark.readStream.format("follow").option("path", glob)``: path, off_start, off_end, value."""
+    """``spark.readStream.format("follow").option("path", glob)``: path, off_start, off_end, value.
+
+    Option ``maxbytes`` (64 MB): about how much a partition reads.
+    """
 
     @classmethod
     def name(cls) -> str:

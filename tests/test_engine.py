@@ -223,6 +223,53 @@ def test_follow_grows_rotates_and_resumes(spark, tmp_path):
     assert run()[:2] == [(0, "fresh"), (0, "one")]
 
 
+def test_follow_reads_the_rest_of_a_rotated_file(spark, tmp_path):
+    spark.dataSource.register(FollowSource)
+    log = tmp_path / "a.log"
+    log.write_text("one\ntwo\n")
+    source = lambda: spark.readStream.format("follow").option("path", f"{tmp_path}/*.log").option("maxbytes", 5).load()
+    run = lambda: sorted((os.path.basename(r.path), r.off_start, r.value) for r in _run(spark, source(), tmp_path, "rest").collect())
+    assert run() == [("a.log", 0, "one"), ("a.log", 4, "two")]
+    with log.open("a") as f:
+        f.write("a third line that is long\n4\n")
+    log.rename(tmp_path / "a.log.20260930-101500")
+    once = [("a.log", 0, "one"), ("a.log", 4, "two"), ("a.log", 8, "a third line that is long"), ("a.log", 34, "4")]
+    assert run() == once
+    log.write_text("new\n")
+    assert run() == sorted([*once, ("a.log", 0, "new")])
+
+
+def test_search_does_not_open_what_trigrams_rule_out(spark, tmp_path):
+    rows = [(d, f"c{c}", "n", 0, 10**18 + i, i, f"line with {'needle' if (d, c) == ('20010909', 1) else 'straw'} {i}") for i, (d, c) in enumerate((d, c) for d in ("20010909", "20010910") for c in range(3) for _ in range(4))]
+    rows += [("20010909", "c9", None, 0, 10**18, 99, "an unnamed needle"), ("20010909", "c8", "n", 1, 10**18, 100, "a needle the table lacks")]
+    lines = spark.createDataFrame(rows, "day string, cluster string, ns string, batch int, ts_ns long, seq long, msg string")
+    lines.write.partitionBy(*search.STORE_UNIT).option("compression", "zstd").parquet(str(tmp_path / "store"))
+    store = spark.read.schema(lines.schema).parquet(str(tmp_path / "store"))
+    skip = skipping.trigram_table(store.filter("batch = 0 and ns is not null"), search.STORE_UNIT)
+    found = lambda q, s: sorted(r.seq for r in search.search(store, search.Selector(), 10**18, 10**18 + 10**12, q, skip=s).collect())
+    for q in ("needle", "straw", "!needle", "", "ne", "absent"):
+        assert found(q, skip) == found(q, None), q
+    assert len(found("needle", skip)) == 6
+    out = {(r.day, r.cluster) for r in skipping.ruled_out(skip, "needle", search.STORE_UNIT).collect()}
+    assert len(out) == 5 and ("20010909", "c1") not in out
+    plan = search.search(store, search.Selector(), 10**18, 10**18 + 10**12, "needle", skip=skip)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert skipping.ruled_out(skip, "ne", search.STORE_UNIT) is None
+
+
+def test_page_within_a_scan_budget(spark):
+    rows = [("20010909", 1, 10**18 + i, i, "old") for i in range(5)] + [("20010910", 1, 10**18 + 86_400 * 10**9 + i, 5 + i, "new") for i in range(5)]
+    lines = spark.createDataFrame(rows, "day string, sid long, ts_ns long, seq long, msg string").withColumn("restart", F.lit(0))
+    days = lambda most: catalog.days_in_budget(catalog.chunks_of(lines), 0, 2 * 10**18, most)
+    page = lambda n, most: search.page_within(lines.select("day", "ts_ns", "seq"), days(most), n)
+    seqs = lambda p: [r.seq for r in p.rows]
+    assert (seqs(p := page(5, 1)), p.truncated) == ([9, 8, 7, 6, 5], False)
+    assert (seqs(p := page(7, 1)), p.truncated) == ([9, 8, 7, 6, 5], True)
+    assert (seqs(p := page(7, 10**6)), p.truncated) == ([9, 8, 7, 6, 5, 4, 3], True)
+    assert (seqs(p := page(10, 10**6)), p.truncated) == ([9, 8, 7, 6, 5, 4, 3, 2, 1, 0], False)
+    assert page(3, 10**6).truncated and days(0).filter("scanned").count() == 1
+
+
 def test_stream_restarts_exactly_once(spark, tmp_path):
     """Resent files after a restart add nothing; new ones add what is new."""
     schema = "sid long, file string, seq long, off_start long, off_end long"
