@@ -129,3 +129,38 @@ def test_decontamination_recall_of_edited_copies(spark):
     ii = spark.createDataFrame([(i, " ".join(v)) for i, v in items.items()], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in contaminated(dd, ii).collect()}
     assert got <= want.keys() and len(got) >= 0.98 * len(want) and len(want) > 150
+
+
+def test_token_workers_memory_follows_batch_and_memo():
+    """Batches of 8 MB with 120,000 words each that the memo lacks: beyond what an encoder weighs, a worker stays under 140 MB."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+import pyarrow as pa
+from spindrift.llm.queries import tokenizer_path
+from spindrift.llm.tokens import encoder
+
+most = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+enc = encoder(tokenizer_path())
+enc.encode("a")
+before = most()
+name = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+for batch in range(6):
+    words = [name(7919 * (120_000 * batch + n)) for n in range(120_000)]
+    text = " ".join([" ".join(words), *["some common words of a text,"] * 250_000])[: 8 << 20]
+    texts = pa.array([text[i : i + 2000] for i in range(0, len(text), 2000)])
+    del words, text
+    ids, counts = enc.encode_batch(texts)
+    assert len(counts) == len(texts) and counts.sum() == len(ids)
+    if batch == 0:
+        want = enc.tokenizer.encode_batch([texts[0].as_py(), texts[-1].as_py()], add_special_tokens=False)
+        assert ids[: counts[0]].tolist() == want[0].ids and ids[len(ids) - counts[-1] :].tolist() == want[1].ids
+print(most() - before)
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 140, done.stdout
