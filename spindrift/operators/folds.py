@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_partial(df: DataFrame, file: str = "file", order: str = "off", max_bytes: int | None = None) -> DataFrame:
+def merge_partial(df: DataFrame, file: str = "file", order: str = "off", max_bytes: int | None = None, end: str | None = None) -> DataFrame:
     """Pieces of one line joined: file, n, off (of the first), ts_ns, stderr, msg.
 
     A run of partial pieces and the full one after it are one line; time and stream are the first piece's;
     pieces left at the end of a file are a line. With ``max_bytes`` a line is let go once it has so many bytes,
-    asked from its second piece on; this cuts inside a run, which stays in one array.
+    asked from its second piece on; this cuts inside a run, which stays in one array. ``end`` is a column more, of the last piece.
     """
     w = Window.partitionBy(file).orderBy(order)
     after_full = F.coalesce(F.lag(~F.col("partial")).over(w), F.lit(False)).cast("int")
     run = F.sum(after_full).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    piece = F.struct(F.col(order).alias("off"), "ts_ns", "stderr", "msg")
+    ends = [end] if end else []
+    piece = F.struct(F.col(order).alias("off"), "ts_ns", "stderr", "msg", *ends)
     groups = df.withColumn("_run", run).groupBy(file, "_run").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     if max_bytes is None:
         lines = groups.select(file, F.col("p").alias("g"))
@@ -32,15 +33,15 @@ def merge_partial(df: DataFrame, file: str = "file", order: str = "off", max_byt
             )
 
         cuts = F.aggregate("p", empty, step, lambda acc: acc["cuts"])
-        ends = F.array_distinct(F.concat(cuts, F.array(F.size("p"))))
-        spans = F.transform(ends, lambda e, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("a"), e.alias("b")))
+        stops = F.array_distinct(F.concat(cuts, F.array(F.size("p"))))
+        spans = F.transform(stops, lambda e, i: F.struct(F.coalesce(F.get(stops, i - 1), F.lit(0)).alias("a"), e.alias("b")))
         lines = groups.select(file, "p", F.explode(spans).alias("s")).select(file, F.slice("p", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("g"))
     first = F.get("g", F.lit(0))
-    return lines.select(file, F.size("g").alias("n"), first["off"].alias("off"), first["ts_ns"].alias("ts_ns"), first["stderr"].alias("stderr"), F.array_join(F.transform("g", lambda x: x["msg"]), "").alias("msg"))
+    return lines.select(file, F.size("g").alias("n"), first["off"].alias("off"), first["ts_ns"].alias("ts_ns"), first["stderr"].alias("stderr"), F.array_join(F.transform("g", lambda x: x["msg"]), "").alias("msg"), *[F.element_at("g", -1)[c].alias(c) for c in ends])
 
 
-def join_multiline(df: DataFrame, starts: Column, file: str = "file", order: str = "off", max_lines: int = 200) -> DataFrame:
-    """Events of a start line and what follows it: file, off, n, msg (joined by line breaks).
+def join_multiline(df: DataFrame, starts: Column, file: str = "file", order: str = "off", max_lines: int = 200, first: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
+    """Events of a start line and what follows it: file, off, n, msg (joined by line breaks), and columns of the first and the last line.
 
     A file's first line starts one, a line that ``starts`` does, and a line that would be one too many.
     """
@@ -48,8 +49,9 @@ def join_multiline(df: DataFrame, starts: Column, file: str = "file", order: str
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begun = df.withColumn("_g", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(running))
     part = F.floor((F.row_number().over(Window.partitionBy(file, "_g").orderBy(order)) - 1) / max_lines)
-    out = begun.withColumn("_s", part).groupBy(file, "_g", "_s").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("off"), "msg"))).alias("p"))
-    return out.select(file, F.get("p", F.lit(0))["off"].alias("off"), F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["msg"]), "\n").alias("msg"))
+    out = begun.withColumn("_s", part).groupBy(file, "_g", "_s").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("off"), "msg", *first, *last))).alias("p"))
+    more = [F.get("p", F.lit(0))[c].alias(c) for c in first] + [F.element_at("p", -1)[c].alias(c) for c in last]
+    return out.select(file, F.get("p", F.lit(0))["off"].alias("off"), F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["msg"]), "\n").alias("msg"), *more)
 
 
 def accepted_sections(df: DataFrame, keys: tuple[str, ...] = ("sid", "file"), seq: str = "seq") -> DataFrame:

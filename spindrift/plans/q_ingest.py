@@ -204,28 +204,15 @@ def ingest_end_to_end(spark, d):
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z stdout "))
     text = F.concat(F.when(F.col("event_type") == "signup", "* ").otherwise("  "), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))
     piece = F.when(F.col("event_id") % 3 == 0, F.array(F.concat(stamp, F.lit("P "), text), F.concat(stamp, F.lit("F  end")))).otherwise(F.array(F.concat(stamp, F.lit("F "), text)))
-    e = table(spark, d, "events").select("user_id", "event_id", F.posexplode(piece).alias("k", "value"))
-    one = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    # a folder a user by the writer; the text source wants the log's own name, which the folder carries
-    named = one.select("value", F.concat(F.lit("n_p"), F.col("user_id").cast("string"), F.lit("_u")).alias("pod"))
-    _write_named(spark, named, root)
+    pod = F.concat(F.lit("n_p"), F.col("user_id").cast("string"), F.lit("_u"))
+    e = table(spark, d, "events").select(pod.alias("pod"), "event_id", F.posexplode(piece).alias("k", "value"))
+    runtime.write_files(e.select(F.concat("pod", F.lit("/app/0.log")).alias("file"), "value", "event_id", "k"), root, "event_id", "k")
     for batch in (0, 1):
         ingest_files(spark, root, store, batch, r"^\* ", cluster="c", max_lines=50)
     back = spark.read.parquet(store)
     return back.select(F.substring("pod", 2, 20).cast("long").alias("user_id"), "n", F.md5(F.col("msg").cast("binary")).alias("md5"), "ts_ns")
 
 
-def _write_named(spark, df, root):
-    """Text files ``<pod>/app/0.log`` of (pod, value): written as partitions, then moved to their names."""
-    df.repartition("pod").write.partitionBy("pod").text(f"{root}-parts")
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for x in fs.globStatus(path(f"{root}-parts/pod=*/part-*")):
-        pod = x.getPath().getParent().getName().removeprefix("pod=")
-        fs.mkdirs(path(f"{root}/{pod}/app"))
-        fs.rename(x.getPath(), path(f"{root}/{pod}/app/0.log"))
-
-
 def stream_store(spark, d):
     """Lines through the streaming store and back: a count and bounds for each day."""
     from spindrift.functions.lines import day

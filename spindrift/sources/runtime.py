@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +40,9 @@ def time_ns(text: Column) -> Column:
     return F.when(text.rlike(TIME), F.unix_seconds(whole) * 1_000_000_000 + F.rpad(F.left(fraction, F.lit(9)), 9, "0").cast("long"))
 
 
-def _cri(p: Column) -> Column:
-    """The same of a line's pieces: time, stream, tag and what follows."""
+def _cri(p: Column, ts: Column) -> Column:
+    """The same of a line's pieces (time, stream, tag and what follows) and its time, read."""
     at = lambda i: F.get(p, F.lit(i))
-    ts = time_ns(at(0))
     return F.when(
         (F.size(p) >= 3) & (at(2) != "") & ts.isNotNull(),
         F.struct(ts.alias("ts_ns"), (at(1) == "stderr").alias("stderr"), at(2).startswith("P").alias("partial"), F.coalesce(at(3), F.lit("")).alias("msg")),
@@ -49,7 +55,8 @@ def cri_fields(value: Column) -> Column:
     Only the first three spaces part the line; any tag but an empty one will do, and one that begins with P is partial; a
     tag without a message is an empty message; the stream may be empty.
     """
-    return _cri(F.split(value, " ", 4))
+    p = F.split(value, " ", 4)
+    return _cri(p, time_ns(F.get(p, F.lit(0))))
 
 
 def json_fields(value: Column) -> Column:
@@ -69,15 +76,16 @@ def line_fields(value: Column) -> Column:
     return F.when(value.startswith("{"), json_fields(value)).otherwise(cri_fields(value))
 
 
-def parsed_lines(df: DataFrame, value: str = "value") -> DataFrame:
-    """``df`` with ts_ns, stderr, partial and msg of its lines in either format; malformed lines drop out.
+def parsed_lines(df: DataFrame, value: str = "value", malformed: bool = False) -> DataFrame:
+    """``df`` with ts_ns, stderr, partial and msg of its lines in either format; malformed lines drop out, or stay with nulls.
 
-    A line is cut once and its fields are made once: a generator stands between them and whatever reads them, which
-    the optimizer doesn't merge.
+    A line is cut once, its time read once and its fields are made once: a generator stands between them and whatever reads them,
+    which the optimizer doesn't merge.
     """
-    cut = df.withColumn("_p", F.split(value, " ", 4))
-    fields = F.when(F.col(value).startswith("{"), json_fields(F.col(value))).otherwise(_cri(F.col("_p")))
-    return cut.select(*df.columns, F.explode(F.when(fields.isNotNull(), F.array(fields))).alias("_l")).select(*df.columns, "_l.*")
+    cut = df.withColumn("_p", F.split(value, " ", 4)).withColumn("_t", time_ns(F.get("_p", F.lit(0))))
+    fields = F.when(F.col(value).startswith("{"), json_fields(F.col(value))).otherwise(_cri(F.col("_p"), F.col("_t")))
+    made = cut.select(*df.columns, F.explode(F.array(fields)).alias("_l"))
+    return (made if malformed else made.filter("_l is not null")).select(*df.columns, "_l.*")
 
 
 def collected(df: DataFrame, include_ns: list[str] = (), exclude_ns: list[str] = (), exclude_ctr: list[str] = (), own_ctr: str | None = None) -> DataFrame:
@@ -92,7 +100,24 @@ def collected(df: DataFrame, include_ns: list[str] = (), exclude_ns: list[str] =
     return df.filter(rule)
 
 
-def _log_files(spark: SparkSession, root: str, streaming: bool) -> DataFrame:
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark lists folders with a few tasks a core instead of one a folder and packs small files by their size into tasks.
+
+    Listing happens where a reader loads, packing where its rows are used.
+    """
+    fit = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": str(64 << 10)}
+    before = {k: spark.conf.get(k) for k in fit}
+    try:
+        for k, v in fit.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _log_files(spark: SparkSession, root: str | list[str], streaming: bool) -> DataFrame:
     reader = (spark.readStream if streaming else spark.read).schema("value string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*")
     return reader.format("text").load(root)
 
@@ -108,19 +133,61 @@ def read_logs(spark: SparkSession, root: str, streaming: bool = False) -> DataFr
     return at.select("p.ns", "p.pod", "p.uid", "p.ctr", "p.restart", "p.rotated", "p.gzip", "path", "ts_ns", "stderr", "partial", "msg")
 
 
-def read_logs_at(spark: SparkSession, root: str) -> DataFrame:
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size) of the files that ``read_logs_at`` reads, without opening them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*").load(root)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).filter(F.col("path").rlike(PATH))
+
+
+def read_logs_at(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """``read_logs`` in batch, with off_start and off_end: where a line stands in its file's text, unpacked, line breaks of one byte.
 
-    Lines keep the order of their splits and of their places in these; the running sum is a window over one file.
+    Lines keep the order of their splits and of their places in these; the running sum is a window over one file. They are
+    parsed where they are read; malformed ones go after the sum. ``root`` may be a list of files.
     """
     raw = _log_files(spark, root, False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_n"))
     order = Window.partitionBy("path").orderBy("_split", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.octet_length("value").cast("long") + 1
-    placed = raw.withColumn("off_end", F.sum(size).over(order)).withColumn("off_start", F.col("off_end") - size)
-    at = parsed_lines(placed.withColumn("p", path_fields(F.col("path"))).filter("p is not null"))
+    fields = parsed_lines(raw.filter(F.col("path").rlike(PATH)).withColumn("_size", size), malformed=True).drop("value")
+    placed = fields.withColumn("off_end", F.sum("_size").over(order)).withColumn("off_start", F.col("off_end") - F.col("_size"))
+    at = placed.filter("ts_ns is not null").withColumn("p", path_fields(F.col("path")))
     return at.select("p.ns", "p.pod", "p.uid", "p.ctr", "p.restart", "p.rotated", "p.gzip", "path", "off_start", "off_end", "ts_ns", "stderr", "partial", "msg")
 
 
+def write_files(df: DataFrame, root: str, *order: str) -> None:
+    """Text files under ``root``: of each ``file``, a path below it, the rows' ``value`` as lines in the order of ``order``.
+
+    Tasks write whole files, on any file system that pyarrow knows; nothing is done file by file on the driver. A file has a hidden
+    name until it is whole, so a task that runs again puts the same files in place. Rows without a file or a value are no line.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(root)
+        name, out, n = None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                fs.move(hidden, f"{top}/{name}")
+
+        for batch in batches:
+            runs, start = pc.run_end_encode(batch.column("file")), 0
+            for file, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if file != name:
+                    close()
+                    folder = f"{top}/{file}".rpartition("/")[0]
+                    fs.create_dir(folder, recursive=True)
+                    name, hidden, n = file, f"{folder}/.{uuid.uuid4().hex}", n + 1
+                    out = fs.open_output_stream(hidden, compression=None)
+                out.write("".join(f"{x}\n" for x in batch.column("value")[start:end].to_pylist()).encode())
+                start = end
+        close()
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    rows = df.filter("file is not null and value is not null").repartition("file").sortWithinPartitions("file", *order)
+    rows.select("file", "value").mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def file_order(rotated: Column) -> Column:
     """Backfill order of one container's files: rotated ones by stamp, the live file last."""
     return F.when(rotated == "", F.lit("~")).otherwise(rotated)

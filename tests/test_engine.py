@@ -303,6 +303,39 @@ def test_ingest_of_files_end_to_end(spark, tmp_path):
     assert sorted(m for _, _, m in said()) == ["* next", "* old", "* start\n  one line", "* third\n more"]
 
 
+def test_files_are_written_by_the_tasks(spark, tmp_path):
+    """Whole files in order, none on the driver; rows without a file or a value are no line, and no hidden file stays."""
+    rows = [(f"a_p{k}_u/app/0.log", i, f"{k} {i} é") for i in range(9, -1, -1) for k in range(50)] + [("a_p0_u/app/0.log", 4, None), (None, 1, "x")]
+    runtime.write_files(spark.createDataFrame(rows, "file string, i int, value string").repartition(4), f"file://{tmp_path}/logs", "i")
+    files = [p for p in (tmp_path / "logs").rglob("*") if p.is_file()]
+    assert sorted(str(p.relative_to(tmp_path / "logs")) for p in files) == sorted(f"a_p{k}_u/app/0.log" for k in range(50))
+    assert (tmp_path / "logs/a_p7_u/app/0.log").read_text() == "".join(f"7 {i} é\n" for i in range(10))
+
+
+def test_ingest_lists_many_folders_in_few_tasks_and_folds_once(spark, tmp_path):
+    """200 folders: a few listing tasks, one scan and no join of the folds; settings as before; a run without news opens no file."""
+    from spindrift.operators import ingest_files as ing
+
+    at = "2024-02-03T04:05:06Z stdout F "
+    _write_logs(tmp_path / "logs", {f"shop_p{i}_u/app/0.log": [f"{at}* {i}", f"{at}  more"] for i in range(200)})
+    keys = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")
+    before, tracker, store = [spark.conf.get(k) for k in keys], spark.sparkContext.statusTracker(), str(tmp_path / "store")
+    spark.sparkContext.setJobGroup("many", "many")
+    ing.ingest_files(spark, str(tmp_path / "logs"), store, 0, r"^\*", cluster="c")
+    stages = {s for j in tracker.getJobIdsForGroup("many") for s in tracker.getJobInfo(j).stageIds}
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) <= 4 * spark.sparkContext.defaultParallelism
+    plan = ing.events_of(runtime.read_logs_at(spark, str(tmp_path / "logs")), r"^\*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Join" not in plan
+    assert [spark.conf.get(k) for k in keys] == before
+    assert spark.read.parquet(store).filter("n = 2").count() == 200
+    assert ing._with_news(spark, str(tmp_path / "logs"), ing.cursors(spark, store)) == []
+    (tmp_path / "logs/shop_p3_u/app/0.log").open("a").write(f"{at}* late\n")
+    (news,) = ing._with_news(spark, str(tmp_path / "logs"), ing.cursors(spark, store))
+    assert news.endswith("/shop_p3_u/app/0.log")
+    ing.ingest_files(spark, str(tmp_path / "logs"), store, 1, r"^\*", cluster="c")
+    assert spark.read.parquet(store).count() == 201
+
+
 def test_open_groups_are_let_go_at_the_end(spark, tmp_path):
     rows = [("f", 0, "* a"), ("f", 1, "b"), ("f", 2, "* c"), ("f", 3, "d"), ("g", 0, "x")]
     spark.createDataFrame(rows, "file string, off long, msg string").coalesce(1).write.parquet(str(tmp_path / "in"))
